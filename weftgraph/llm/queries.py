@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mpegts, packing, secrets, sharding, substrings, suffix_dedup
+from . import bpe, embeddings, minhash, mpegts, packing, quality, secrets, sharding, substrings, suffix_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
@@ -35,10 +39,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), digests=True)
 
@@ -48,8 +60,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op4_packing, op5_sharding, op7_substring_dedup, op9_secrets, op10_media)}
+    found = (
+        op1_suffix_dedup,
+        op2_bpe,
+        op3_embeddings,
+        op4_packing,
+        op5_sharding,
+        op6_minhash,
+        op7_substring_dedup,
+        op8_quality,
+        op9_secrets,
+        op10_media,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle()}
+    return {"op3_embeddings": embeddings.oracle(), "op5_sharding": sharding.oracle()}

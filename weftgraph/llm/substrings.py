@@ -74,7 +74,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
 def clean(df: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with repeated passages cut from a text column; other columns and rows stay, null texts too."""
-    others = [c for c in df.columns if c != text_col]
+    names = df.columns
+    others = [c for c in names if c != text_col]
     rows = df.select(F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias(TEXT), F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__held")).alias("__others"))
 
     def emit(batch: pa.RecordBatch, texts: list[bytes], runs: list) -> pa.RecordBatch:
@@ -83,6 +84,6 @@ def clean(df: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFr
         cut = [None if z else cut_text(t, r) for t, r, z in zip(texts, runs, null, strict=True)]
         held = dict(zip(others, batch.column(at("__others")).flatten(), strict=False))
         held[text_col] = pa.array(cut, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([held[c] for c in df.columns], names=df.columns)
+        return pa.RecordBatch.from_arrays([held[c] for c in names], names=names)
 
     return repeats.apply(rows, find(rows.select(ROW, TEXT), window), window, emit, df.schema)
