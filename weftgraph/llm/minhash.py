@@ -51,9 +51,9 @@ def sign(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, registers:
     """Signatures of n texts (rows of zeros for those without shingles)."""
     first = np.full(n * registers, np.inf)
     kept = np.zeros(n * registers, np.uint64)
-    at, k = np.zeros(len(doc)), np.uint64(0)
+    at, k = np.zeros(len(doc)), np.zeros(1, np.uint64)
     while len(doc):
-        k += np.uint64(1)
+        k = k + np.uint64(1)
         draw = (_rolling.mix(h + k * _TIME) >> np.uint64(11)).astype(np.float64)
         at = at - np.log((draw + 1) * 2.0**-53) / weight
         slot = doc * registers + (_rolling.mix(h ^ (k * _PLACE)) % np.uint64(registers)).astype(np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, minhash, mpegts, packing, quality, secrets, sharding, substrings, suffix_dedup
+from . import bpe, embeddings, minhash, mpegts, packing, quality, secret_scan, sharding, substrings, suffix_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -52,7 +52,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), digests=True)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), digests=True)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
