@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import minhash, packing, quality, secrets, substrings
+from weftgraph.llm import minhash, packing, quality, secret_scan, substrings
 from weftgraph.llm.components import shared_folder
 from weftgraph.llm.queries import table, vocabulary
 
@@ -38,7 +38,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked; all documents stay."""
-    return _counted(secrets.mask_column(docs))
+    return _counted(secret_scan.mask_column(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
