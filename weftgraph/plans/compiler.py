@@ -382,7 +382,7 @@ class Compiler:
             return paths.variable(self, state, near, rel, node, far_name, back, trail, pattern)
         bound = state.scope.get(far_name)
         edges, entity, far_labels, ends, pick = self.edge_frame(rel, back, near, node.labels if bound is None else [], bound is None)
-        by_key = ends is not None and near.key_label == ends[0]
+        by_key = ends is not None and ends[0] is not None and near.key_label == ends[0]
         on = near.col("key") == c(f"{entity.prefix}$near_key") if by_key else near.col("id") == c(f"{entity.prefix}$near")
         df = state.df.join(edges, on)
         for other in trail:
@@ -406,7 +406,7 @@ class Compiler:
         bound = state.scope.get(name)
         far, far_key = c(f"{rel.prefix}$far"), c(f"{rel.prefix}$far_key")
         if isinstance(bound, Entity):
-            by_key = ends is not None and bound.key_label == ends[1]
+            by_key = ends is not None and ends[1] is not None and bound.key_label == ends[1]
             state = replace(state, df=state.df.where(bound.col("key") == far_key if by_key else bound.col("id") == far))
             return self.narrow(state, bound, node)
         prefix = self.fresh("n")

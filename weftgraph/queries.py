@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cypher
-from .sources.graph import over_tables
+from .operators.writes import Batch
+from .plans.parser import parse
+from .sources.graph import from_rows, over_tables
 
 #: name: (Cypher, SQL)
 READ: dict[str, tuple[str, str]] = {
@@ -165,12 +167,78 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{n}`"), PLACES).alias(n) if k in ("double", "float") else F.col(f"`{n}`") for n, k in df.dtypes])
 
 
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as a history: each distinct order date is a revision, in which its orders begin."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    dates = orders.select("o_orderdate").distinct()
+    revisions = dates.select(F.dense_rank().over(Window.orderBy("o_orderdate")).cast("long").alias("revision"), F.col("o_orderdate").cast("timestamp").alias("time"), F.lit("clerk").alias("actor"), F.lit("").alias("message"))
+    nodes = orders.join(revisions.select("revision", F.col("time").alias("t")), F.col("o_orderdate").cast("timestamp") == F.col("t"))
+    nodes = nodes.select(F.concat(F.lit("Order:"), F.col("o_orderkey").cast("string")).alias("id"), F.array(F.lit("Order")).alias("labels"), F.lit("").alias("body"), "o_orderkey", "o_orderstatus", F.col("revision").alias("valid_from"))
+    return nodes, revisions
+
+
+def _snapshot(at: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The graph as of a revision that a condition on revisions chooses."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, revisions = _history(spark, sf_dir)
+        last = revisions.where(at).agg(F.coalesce(F.max("revision"), F.lit(0)).alias("last"))
+        then = nodes.join(F.broadcast(last), F.col("valid_from") <= F.col("last")).drop("last", "valid_from")  # one row
+        return cypher.query(from_rows(spark, then, _no_edges(spark), revisions), "MATCH (o:Order) RETURN o.o_orderstatus AS s, count(*) AS n")
+
+    return run
+
+
+def _no_edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id string, from_id string, type string, to_id string, position long")
+
+
+def _revisions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, revisions = _history(spark, sf_dir)
+    return cypher.query(from_rows(spark, nodes.drop("valid_from"), _no_edges(spark), revisions), "CALL graph.revisions(5, 10) YIELD revision, actor, next RETURN revision, actor, next")
+
+
+def _written(change: str, read: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A change of the graph of nations and suppliers, staged, and what is read from it then."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nation, supplier = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "supplier"))
+        node = lambda df, label, key, name: df.select(F.concat(F.lit(f"{label}:"), F.col(key).cast("string")).alias("id"), F.array(F.lit(label)).alias("labels"), F.lit("").alias("body"), F.col(key).cast("long").alias("key"), F.col(name).alias("name"))
+        nodes = node(nation, "Nation", "n_nationkey", "n_name").unionByName(node(supplier, "Supplier", "s_suppkey", "s_name"))
+        edges = supplier.select(F.concat(F.lit("L:"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("from_id"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("Nation:"), F.col("s_nationkey").cast("string")).alias("to_id"), F.lit(None).cast("long").alias("position"))
+        batch = Batch(from_rows(spark, nodes, edges))
+        for statement in parse(change):
+            batch.run(statement)
+        return cypher.query(batch.graph, read)
+
+    return run
+
+
+#: name: (what gives the rows, SQL)
+OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "snapshot_at_revision": (_snapshot("revision <= 40"), "SELECT o_orderstatus AS s, count(*) AS n FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderdate) AS r FROM orders) WHERE r <= 40 GROUP BY 1"),
+    "snapshot_at_time": (_snapshot("time <= timestamp '1996-06-01 00:00:00'"), "SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-01' GROUP BY 1"),
+    "revisions_page": (_revisions_page, "SELECT unnest([11, 12, 13, 14, 15]) AS revision, 'clerk' AS actor, 15 AS next"),
+    "create_nodes": (
+        _written("MATCH (n:Nation) CREATE (n)-[:HAS {since: n.key + 1900}]->(:Capital {name: 'capital of ' + n.name})", "MATCH (n:Nation)-[h:HAS]->(c:Capital) RETURN n.name AS n, c.name AS c, h.since AS s"),
+        "SELECT n_name AS n, 'capital of ' || n_name AS c, n_nationkey + 1900 AS s FROM nation",
+    ),
+    "merge_upsert": (
+        _written("UNWIND range(20, 29) AS k MERGE (n:Nation {key: k}) ON CREATE SET n.name = 'new' ON MATCH SET n.seen = true", "MATCH (n:Nation) RETURN n.key AS k, n.name AS name, n.seen AS seen"),
+        "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey >= 20 THEN true END AS seen FROM nation UNION ALL SELECT unnest(range(25, 30)), 'new', NULL",
+    ),
+    "set_property": (_written("MATCH (n:Nation) WHERE n.key > 10 SET n.rank = n.key * 2, n.name = null", "MATCH (n:Nation) RETURN n.key AS k, n.rank AS r, n.name AS name"), "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 10 THEN n_nationkey * 2 END AS r, CASE WHEN n_nationkey <= 10 THEN n_name END AS name FROM nation"),
+    "remove_label": (_written("MATCH (n:Nation) WHERE n.key < 5 REMOVE n:Nation SET n:Old", "MATCH (n) WHERE n:Nation OR n:Old RETURN labels(n)[0] AS l, count(*) AS n"), "SELECT CASE WHEN n_nationkey < 5 THEN 'Old' ELSE 'Nation' END AS l, count(*) AS n FROM nation GROUP BY 1"),
+    "detach_delete": (_written("MATCH (n:Nation) WHERE n.key < 12 DETACH DELETE n", "MATCH (s:Supplier) OPTIONAL MATCH (s)-[:LOCATED_IN]->(n) RETURN count(s) AS s, count(n) AS n"), "SELECT count(*) AS s, count(CASE WHEN s_nationkey >= 12 THEN 1 END) AS n FROM supplier"),
+}
+
+
 def _reader(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(cypher.query(over_tables(spark, sf_dir), text))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _reader(text) for name, (text, _) in READ.items()}
+    return {name: _reader(text) for name, (text, _) in READ.items()} | {name: run for name, (run, _) in OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -178,4 +246,4 @@ def oracle_sql() -> dict[str, str]:
     for name, (_, sql) in READ.items():
         cut = ", ".join(f"round({x}, {PLACES}) AS {x}" for x in FLOATS.get(name, []))
         out[name] = f"SELECT * REPLACE ({cut}) FROM ({sql})" if cut else sql
-    return out
+    return out | {name: sql for name, (_, sql) in OTHER.items()}
