@@ -41,6 +41,8 @@ CASES = [
     ("MATCH (a {name: 'a'}), (c {name: 'c'}) MATCH p = allShortestPaths((a)-[:BLOCKS*]-(c)) RETURN [x IN nodes(p) | x.name] AS n", [(["a", "b", "c"],)]),
     ("MATCH p = shortestPath((a:X)-[*]->(c {name: 'c'})) RETURN length(p) AS l", [(1,)]),
     ("MATCH (a {name: 'c'}), (b {name: 'a'}) MATCH p = shortestPath((a)-[*]->(b)) RETURN p", []),
+    ("MATCH (a {name: 'a'}), (c {name: 'c'}) MATCH p = shortestPath((a)-[*2..]->(c)) RETURN [x IN nodes(p) | x.name] AS n", [(["a", "b", "c"],)]),
+    ("MATCH (n:X) WHERE EXISTS { MATCH (n)-[:OTHER]->() RETURN 1 AS x UNION MATCH (n)-[:NONE]->() RETURN 1 AS x } RETURN n.name AS n", [("a",)]),
     ("MATCH (n) OPTIONAL MATCH (n)-[:BLOCKS]->(m) RETURN n.name AS n, m.name AS m", [("a", "b"), ("b", "c"), ("c", None), ("l", None), ("p", None), ("q", None)]),
     ("OPTIONAL MATCH (n:Nothing) RETURN n", [(None,)]),
     ("MATCH (n) WHERE (n)-[:BLOCKS]->() RETURN n.name AS n", [("a",), ("b",)]),

@@ -111,12 +111,41 @@ def variable(comp: Compiler, state: State, near: Entity, rel: t.RelPattern, node
 
 
 def shortest(comp: Compiler, pattern: t.PathPattern, state: State) -> State:
+    """The shortest path of each input row, or all of that length.
+
+    One relationship pattern of length 0 or 1 and more is searched breadth-first;
+    any other pattern is matched in full and its shortest paths kept.
+    """
+    imports = comp.import_columns(state, list(state.scope))
+    name = pattern.var or f" {comp.fresh('path')}"
     rel = pattern.rels[0] if len(pattern.rels) == 1 else None
-    if rel is None:
-        raise CypherError("a shortest path has one relationship pattern")
+    lo, hi = (bounds(comp, rel) if rel.length is not None else (1, 1)) if rel is not None else (2, None)
+    if lo > 1:
+        state = comp.path(replace(pattern, shortest=None, var=name), state)
+        path, fixed = state.scope[name], False
+    else:
+        state, path, fixed = breadth_first(comp, pattern, state, rel, lo, hi)
+    df = state.df
+    if not fixed:
+        # Over all starts and ends of a row, the least length counts.
+        place = comp.fresh("w")
+        order = [F.size(c(path)["relationships"]), F.transform(c(path)["relationships"], lambda r: r[REL])]
+        window = Window.partitionBy(*map(c, imports)) if imports else Window.partitionBy(F.lit(1))
+        rank = F.row_number().over(window.orderBy(*order)) if pattern.shortest == "one" else F.rank().over(window.orderBy(order[0]))
+        df = df.withColumn(place, rank).where(c(place) == 1).drop(place)
+    scope = {k: v for k, v in state.scope.items() if not k.startswith(" ")}
+    if pattern.var:
+        scope[pattern.var] = path
+    if lo <= 1 and rel.var:
+        rels = comp.fresh("s")
+        df = df.withColumn(rels, c(path)["relationships"])
+        scope[rel.var] = rels
+    return replace(state, df=df, scope=scope, unit=False)
+
+
+def breadth_first(comp: Compiler, pattern: t.PathPattern, state: State, rel: t.RelPattern, lo: int, hi: int | None) -> tuple[State, str, bool]:
+    """Both ends and a path column, and whether the ends were bound before."""
     ends = [n.var or f" {comp.fresh('anon')}" for n in pattern.nodes]
-    before = list(state.scope)
-    imports = comp.import_columns(state, before)
     fixed = all(n in state.scope for n in ends)
     for name, node in zip(ends, pattern.nodes, strict=True):
         if name in state.scope:
@@ -125,28 +154,11 @@ def shortest(comp: Compiler, pattern: t.PathPattern, state: State) -> State:
             df, entity = comp.scan(name, node.labels)
             state = replace(state, df=df if state.unit else state.df.crossJoin(df), scope={**state.scope, name: entity}, unit=False)
             state = comp.having(state, entity, node.props)
-    lo, hi = bounds(comp, rel) if rel.length is not None else (1, 1)
     a, b = state.scope[ends[0]], state.scope[ends[1]]
-    if lo > 1:
-        raise CypherError("a shortest path starts at length 0 or 1")
     found = search(comp, state, a, b, rel, lo, hi, pattern.shortest)
     name = comp.fresh("p")
     df = state.df.join(found, (a.col("id") == c("$src")) & (b.col("id") == c("$dst"))).withColumn(name, c("$path")).drop("$src", "$dst", "$path")
-    if not fixed:
-        # Over all starts and ends of a row, the least length counts.
-        place = comp.fresh("w")
-        order = [F.size(c(name)["relationships"]), F.transform(c(name)["relationships"], lambda r: r[REL])]
-        window = Window.partitionBy(*map(c, imports)) if imports else Window.partitionBy(F.lit(1))
-        rank = F.row_number().over(window.orderBy(*order)) if pattern.shortest == "one" else F.rank().over(window.orderBy(order[0]))
-        df = df.withColumn(place, rank).where(c(place) == 1).drop(place)
-    scope = {k: v for k, v in state.scope.items() if not k.startswith(" ")}
-    if pattern.var:
-        scope[pattern.var] = name
-    if rel.var:
-        rels = comp.fresh("s")
-        df = df.withColumn(rels, c(name)["relationships"])
-        scope[rel.var] = rels
-    return replace(state, df=df, scope=scope, unit=False)
+    return replace(state, df=df), name, fixed
 
 
 def search(comp: Compiler, state: State, a: Entity, b: Entity, rel: t.RelPattern, lo: int, hi: int | None, kind: str) -> DataFrame:

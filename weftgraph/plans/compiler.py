@@ -508,20 +508,23 @@ class Compiler:
 
     def existence(self, test: t.PatternTest | t.Exists, state: State) -> tuple[list[str], DataFrame]:
         """Columns that a test depends on, and the distinct values of them for which it holds."""
-        clauses = [t.Match([test.pattern], None, False)] if isinstance(test, t.PatternTest) else test.query.branches[0]
-        if isinstance(test, t.Exists) and t.writes(test.query):
+        branches = [[t.Match([test.pattern], None, False)]] if isinstance(test, t.PatternTest) else test.query.branches
+        if t.writes(branches):
             raise CypherError("EXISTS may not write")
-        refs = self.imports(clauses, state)
+        refs = self.imports(branches, state)
         keys = self.import_columns(state, refs)
-        if isinstance(test, t.Exists) and len(test.query.branches) > 1:
-            frames = [self.existence(t.Exists(t.Query([b])), state) for b in test.query.branches]
-            raise CypherError("EXISTS takes one query, not a UNION") if len({tuple(k) for k, _ in frames}) > 1 else None
-        inner = self.free(clauses, refs, state) or self.import_state(state, refs)
-        for clause in clauses:
-            if isinstance(clause, t.Project) and clause.final:
-                break
-            inner = self.clause(clause, inner)
-        return keys, inner.df.select(*map(c, keys)).distinct() if keys else inner.df
+        frames = []
+        for clauses in branches:
+            inner = (self.free(clauses, refs, state) if len(branches) == 1 else None) or self.import_state(state, refs)
+            for clause in clauses:
+                if isinstance(clause, t.Project) and clause.final:
+                    break
+                inner = self.clause(clause, inner)
+            frames.append(inner.df.select(*map(c, keys)) if keys else inner.df.select(F.lit(True).alias("$found")))
+        found = frames[0]
+        for f in frames[1:]:
+            found = found.unionByName(f)
+        return keys, found.distinct() if keys else found
 
     def free(self, clauses: list, refs: list[str], state: State) -> State | None:
         """For a test of one pattern around one bound node: the start without that binding.
