@@ -9,7 +9,7 @@ def spark():
 
     s = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")

@@ -105,3 +105,10 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and plan.count("FileScan") == 2
     assert "o_totalprice" not in plan and "c_name" not in plan
+
+
+def test_a_foreign_key_needs_no_join_of_its_own(spark):
+    from weftgraph.sources.graph import over_tables
+
+    df = cypher.query(over_tables(spark, "/root/testdata/sf0.001"), "MATCH (s:Supplier)-[:LOCATED_IN]->(n:Nation)<-[:CHILD]-(r:Region) RETURN r.r_name AS r, count(s) AS n")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3

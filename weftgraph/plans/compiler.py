@@ -375,6 +375,28 @@ class Compiler:
             return self.spark.createDataFrame([], schema), entity, far, None, None
         return merged(frames), entity, far, (picks[0][2] if one else None), (picks[0] if one else None)
 
+    def own_row(self, near: Entity, rel: Entity, pick) -> tuple[Column, list[Column]] | None:
+        """A relationship that is a foreign key in the near node's own row: the condition for it and its columns."""
+        e, d, ends = pick
+        out = d == "out"
+        far = e.target_key if out else e.source_key
+        if e.node_end != ("source" if out else "target") or far not in near.props or not isinstance(e.key, tuple) or e.key[1] not in near.props or e.props or e.position:
+            return None
+        key = near.prop(far)
+        far_id = F.concat(F.lit(f"{ends[1]}:"), key.cast("string"))
+        cols = {
+            "id": F.concat(F.lit(f"{e.type}:"), e.key_text(near.prop)),
+            "from": near.col("id") if out else far_id,
+            "to": far_id if out else near.col("id"),
+            "type": F.lit(e.type),
+            "position": F.lit(None).cast("long"),
+            "near": near.col("id"),
+            "far": far_id,
+            "near_key": near.col("key"),
+            "far_key": key,
+        }
+        return key.isNotNull() & near.col("id").isNotNull(), [v.alias(f"{rel.prefix}${k}") for k, v in cols.items()]
+
     def hop(self, state: State, near_name: str, rel: t.RelPattern, node: t.NodePattern, far_name: str, back: bool, trail: list[Entity], pattern: t.PathPattern) -> tuple[State, Entity]:
         """One relationship of a path and the node behind it."""
         near = state.scope[near_name]
@@ -383,8 +405,12 @@ class Compiler:
         bound = state.scope.get(far_name)
         edges, entity, far_labels, ends, pick = self.edge_frame(rel, back, near, node.labels if bound is None else [], bound is None)
         by_key = ends is not None and ends[0] is not None and near.key_label == ends[0]
-        on = near.col("key") == c(f"{entity.prefix}$near_key") if by_key else near.col("id") == c(f"{entity.prefix}$near")
-        df = state.df.join(edges, on)
+        row = self.own_row(near, entity, pick) if by_key else None
+        if row is not None:
+            df = state.df.where(row[0]).select("*", *row[1])
+        else:
+            on = near.col("key") == c(f"{entity.prefix}$near_key") if by_key else near.col("id") == c(f"{entity.prefix}$near")
+            df = state.df.join(edges, on)
         for other in trail:
             if other.kind == "rel" and (other.labels is None or entity.labels is None or other.labels & entity.labels):
                 df = df.where(other.col("id") != entity.col("id"))

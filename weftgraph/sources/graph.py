@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +42,9 @@ class EdgeTable:
     """Relationships of one type between nodes of two labels, by their keys.
 
     Without a type: columns id, from_id, type, to_id, position and properties.
-    ``key`` is what makes an edge unique among those of its table.  ``node_end``
-    says that the table is also the node table of one end, so that an edge's row
-    holds that node's properties.
+    ``key`` is what makes an edge unique among those of its table: a column, or a
+    text and a column's name.  ``node_end`` says that the table is also the node
+    table of one end, so that an edge's row holds that node's properties.
     """
 
     df: DataFrame
@@ -53,7 +53,7 @@ class EdgeTable:
     target: str | None = None
     source_key: str | None = None
     target_key: str | None = None
-    key: Column | None = None
+    key: Column | tuple[str, str] | None = None
     props: tuple[str, ...] = ()
     position: str | None = None
     node_end: str | None = None
@@ -64,12 +64,16 @@ class EdgeTable:
             return {f.name: f.dataType for f in self.df.schema if f.name not in {"id", "from_id", "type", "to_id", "position"}}
         return {f.name: f.dataType for f in self.df.schema if f.name in self.props}
 
+    def key_text(self, column: Callable[[str], Column]) -> Column:
+        text, name = self.key
+        return F.concat(F.lit(text), column(name).cast("string"))
+
     def canonical(self, with_node: bool = False) -> DataFrame:
         """$id, $from, $to, $type, $position, $from_key, $to_key, properties; with_node adds the end's as node.<name>."""
         if self.type is None:
             return self.df.select(c("id").alias("$id"), c("from_id").alias("$from"), c("to_id").alias("$to"), c("type").alias("$type"), c("position").alias("$position"), c("from_id").alias("$from_key"), c("to_id").alias("$to_key"), *map(c, self.prop_types))
         near, far = c(self.source_key), c(self.target_key)
-        key = self.key if self.key is not None else F.concat_ws("|", near.cast("string"), far.cast("string"))
+        key = self.key_text(c) if isinstance(self.key, tuple) else self.key if self.key is not None else F.concat_ws("|", near.cast("string"), far.cast("string"))
         cols = [
             F.concat(F.lit(f"{self.type}:"), key.cast("string")).alias("$id"),
             F.concat(F.lit(f"{self.source}:"), near.cast("string")).alias("$from"),
@@ -145,14 +149,14 @@ def over_tables(spark: SparkSession, sf_dir: str) -> Graph:
     following = events.withColumn("next_event", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     after = turns.withColumn("next_turn", F.lead("turn_key").over(Window.partitionBy("conv_id").orderBy("turn")))
     edges = [
-        EdgeTable(nation, "CHILD", "Region", "Nation", "n_regionkey", "n_nationkey", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), node_end="target"),
-        EdgeTable(customer, "CHILD", "Nation", "Customer", "c_nationkey", "c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), node_end="target"),
-        EdgeTable(orders, "CHILD", "Customer", "Order", "o_custkey", "o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), node_end="target"),
-        EdgeTable(orders, "PLACED", "Customer", "Order", "o_custkey", "o_orderkey", F.col("o_orderkey"), node_end="target"),
+        EdgeTable(nation, "CHILD", "Region", "Nation", "n_regionkey", "n_nationkey", ("n", "n_nationkey"), node_end="target"),
+        EdgeTable(customer, "CHILD", "Nation", "Customer", "c_nationkey", "c_custkey", ("c", "c_custkey"), node_end="target"),
+        EdgeTable(orders, "CHILD", "Customer", "Order", "o_custkey", "o_orderkey", ("o", "o_orderkey"), node_end="target"),
+        EdgeTable(orders, "PLACED", "Customer", "Order", "o_custkey", "o_orderkey", ("", "o_orderkey"), node_end="target"),
         EdgeTable(numbered, "CONTAINS", "Order", "Part", "l_orderkey", "l_partkey", line_key, props=tuple(items)),
         EdgeTable(lineitem.select("l_suppkey", "l_partkey").distinct(), "SUPPLIES", "Supplier", "Part", "l_suppkey", "l_partkey"),
-        EdgeTable(supplier, "LOCATED_IN", "Supplier", "Nation", "s_suppkey", "s_nationkey", F.col("s_suppkey"), node_end="source"),
-        EdgeTable(events, "DID", "User", "Event", "user_id", "event_id", F.col("event_id"), node_end="target"),
+        EdgeTable(supplier, "LOCATED_IN", "Supplier", "Nation", "s_suppkey", "s_nationkey", ("", "s_suppkey"), node_end="source"),
+        EdgeTable(events, "DID", "User", "Event", "user_id", "event_id", ("", "event_id"), node_end="target"),
         EdgeTable(following, "NEXT", "Event", "Event", "event_id", "next_event", F.concat(F.lit("e"), F.col("event_id").cast("string"))),
         EdgeTable(after, "NEXT", "Turn", "Turn", "turn_key", "next_turn", F.concat(F.lit("t"), F.col("turn_key"))),
     ]
