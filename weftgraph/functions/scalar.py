@@ -10,7 +10,7 @@ from . import temporal
 from .values import Val, make, numeric
 
 #: Code points of Unicode white space, for trim.
-SPACE = r"[\s\u0085   -     　]+"
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 RANGE_LIMIT = 1 << 20
 
 
