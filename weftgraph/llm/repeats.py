@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _rolling
 from ._arrow import run, slices
+from .components import written
 
 ROW = "__row"
 RANGES = "__ranges"
@@ -92,7 +93,8 @@ def repeated_groups(found: DataFrame) -> DataFrame:
         .where("times > 1")
         .select("anchor", (F.col("least") == F.col("most")).alias("sure"))
     )
-    return found.join(anchors, "anchor")
+    # Written, since several steps follow from it and hashing all texts again for each would cost more.
+    return written(found.join(anchors, "anchor"))
 
 
 def by_row(ranges: DataFrame) -> DataFrame:
