@@ -25,8 +25,8 @@ from .repeats import ROW, TEXT, Units, text_bytes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Members of a band bucket that a task compares at once.
-TILE = 256
+#: Members of a cluster of candidates in one block; a task compares two blocks.
+TILE = 512
 #: Pairs whose signatures agree this much less than the threshold are not worth reading: five deviations of the estimate.
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
@@ -133,33 +133,125 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return run(both, kernel, "a long, b long")
 
 
-def tiled(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different groups that share a bucket and whose signatures leave a chance.
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int, width: int, columns: int = 4096) -> np.ndarray:
+    """How many columns each two of n texts share, x of the first and y of the second: (text, column), by column; products of incidence blocks."""
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, width, columns):
+        blocks = []
+        for doc, at in (x, y):
+            lo, hi = np.searchsorted(at, [a, a + columns])
+            block = np.zeros((n, min(columns, width - a)), np.float32)
+            block[doc[lo:hi], at[lo:hi] - a] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
 
-    buckets: key, class, root, signature.  A bucket's members are dealt to blocks,
-    and pairs of blocks are compared as tiles, so no task holds a large bucket.
+
+#: Shingle weights up to this are compared in matrices; texts with larger ones one by one.
+LIGHT = 3
+
+
+def similarities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Probability Jaccard of all pairs of n texts with weights up to LIGHT.
+
+    With c[p, q] shingles of weight p in one text and q in the other, it is the sum
+    over p, q > 0 of c[p, q] / sum over r, s of c[r, s] max(r / p, s / q).
+    """
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    size = {p: np.bincount(doc[weight == p], minlength=n).astype(np.float32) for p in range(1, LIGHT + 1)}
+    some = times[at] > 1  # a shingle of one text is shared by none
+    doc, at, weight = doc[some], np.unique(at[some], return_inverse=True)[1], weight[some]
+    width = int(at.max()) + 1 if len(at) else 0
+    order = np.argsort(at, kind="stable")
+    doc, at, weight = doc[order], at[order], weight[order]
+    parts = {p: (doc[weight == p], at[weight == p]) for p in range(1, LIGHT + 1)}
+    levels = [p for p in parts if size[p].any()]
+    c = {(p, q): common(parts[p], parts[q], n, width) for p in levels for q in levels}
+    for p in levels:
+        c[p, 0] = size[p][:, None] - sum(c[p, q] for q in levels)
+        c[0, p] = size[p][None, :] - sum(c[q, p] for q in levels)
+    out = np.zeros((n, n), np.float32)
+    for p in levels:
+        for q in levels:
+            under = sum(v * np.float32(max(r / p, s / q)) for (r, s), v in c.items())
+            out += c[p, q] / np.maximum(under, np.float32(1e-9))
+    return out
+
+
+def links_of(texts: list[bytes], signature: np.ndarray, keys: np.ndarray, side: np.ndarray, root: np.ndarray, threshold: float) -> np.ndarray:
+    """Group of each text by its links: pairs of different sides and roots that share a band.
+
+    ``side`` holds bit 1 for the tile's first block and bit 2 for its second.
+    Texts whose shingles are light are compared in matrices; what comes close to the
+    threshold there, and pairs of other texts whose signatures leave a chance, are
+    computed one by one, unless they are connected by then.
+    """
+    n = len(texts)
+    doc, h, weight = shingles(texts)
+    light = np.ones(n, bool)
+    light[doc[weight > LIGHT]] = False
+    group = np.unique(root, return_inverse=True)[1]
+    pair = np.triu((side[:, None] & 1) * (side[None, :] & 2) | (side[:, None] & 2) * (side[None, :] & 1), 1) > 0
+    pair &= group[:, None] != group[None, :]
+    banded = np.zeros((n, n), bool)
+    for k in range(keys.shape[1]):
+        banded |= keys[:, k, None] == keys[None, :, k]
+    pair &= banded
+    mine = light[doc]
+    found = similarities(doc[mine], h[mine], weight[mine], n)
+    plain = light[:, None] & light[None, :]
+    a, b = np.nonzero(pair & plain & (found >= threshold + 1e-4))
+    group = forest_of(group, a, b)
+    open_ = pair & np.where(plain, np.abs(found - threshold) < 1e-4, True)
+    for a, b in zip(*np.nonzero(open_), strict=True):
+        if group[a] != group[b] and (plain[a, b] or (signature[a] == signature[b]).mean() >= threshold - MARGIN) and similarity(texts[a], texts[b]) >= threshold:
+            group[group == max(group[a], group[b])] = min(group[a], group[b])
+    return group
+
+
+def forest_of(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups joined along the links (a, b), each under its smallest number."""
+    while len(a):
+        low = np.minimum(group[a], group[b])
+        new = np.arange(len(group) + 1)
+        np.minimum.at(new, group[a], low)
+        np.minimum.at(new, group[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        joined = new[group]
+        if (joined == group).all():
+            break
+        group = joined
+    return group
+
+
+def tiled(rest: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join what shares a band and is not of one root yet.
+
+    rest: cluster, class, root, keys, signature, text.  A cluster's members are
+    dealt to blocks, and pairs of blocks are compared as tiles, so no task holds a
+    large cluster; a tile returns a spanning set of its links, never pairs.
     """
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = buckets.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "signature")
-    least = threshold - MARGIN
+    sizes = rest.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "keys", "signature", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("class").combine_chunks()
         ids, root, own = (table[c].to_numpy() for c in ("class", "root", "own"))
-        s = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        lo, hi = key[1].as_py(), key[2].as_py()
-        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in x:
-            near = y[(root[y] != root[i]) & ((s[y] == s[i]).mean(axis=1) >= least)]
-            near = near[ids[near] > ids[i]] if lo == hi else near
-            a += [int(ids[i])] * len(near)
-            b += ids[near].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        side = (own == key[1].as_py()) * 1 | (own == key[2].as_py()) * 2
+        before = np.unique(root, return_inverse=True)[1]
+        group = links_of(text_bytes(table["text"].combine_chunks()), signature, keys, side, root, threshold)
+        # A link from the first member of each earlier group to the first of what it has joined.
+        first = {int(g): int(i) for i, g in reversed(list(zip(ids, group, strict=True)))}
+        start = {int(g): (int(i), int(first[int(n)])) for i, g, n in reversed(list(zip(ids, before, group, strict=True)))}
+        found = [(i, j) for i, j in start.values() if i != j]
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    pairs = tiles.groupBy("key", "x", "y").applyInArrow(tile, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tiles.groupBy("cluster", "x", "y").applyInArrow(tile, "a long, b long")
 
 
 def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,9 +274,14 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = connected(links)
     with_root = shared.join(roots, shared["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     split = with_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = with_root.join(split, "key").join(classes.select("class", "signature"), "class")
-    more = tiled(rest, threshold).join(pairs, ["a", "b"], "left_anti")
-    extra = stored(verified(stored(more), rows, threshold))
+    # Members of such buckets, in clusters that no shared bucket crosses, with their texts.
+    open_ = stored(with_root.join(split, "key"))
+    heads = open_.groupBy("key").agg(F.min("class").alias("head"))
+    clusters = connected(open_.join(heads, "key").select(F.col("head").alias("a"), F.col("class").alias("b")))
+    clusters = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    members = open_.select("class", "root").distinct().join(clusters, "class")
+    rest = members.join(classes.select("class", "keys", "signature"), "class").join(rows.select(F.col(ROW).alias("class"), F.col(TEXT).alias("text")), "class")
+    extra = stored(tiled(rest, threshold))
     roots = connected(links.unionByName(extra))
     of_class = classes.select("d1", "d2", "class").join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "class", F.coalesce("root", "class").alias("root"))
     return found.select(ROW, "d1", "d2").join(of_class, ["d1", "d2"], "left").select(ROW, F.coalesce("class", ROW).alias("class"), F.coalesce("root", ROW).alias("root"))
