@@ -17,6 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df``, with the number of splits of file scans held for the session.
+
+    Row numbers by place are used in several jobs.  Spark derives splits from the
+    cores at hand, which change when executors are lost; the number that holds now
+    is kept, unless the session names one.
+    """
+    spark, key = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share."""
     shared_folder(df.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected, stored
+from .components import connected, steady, stored
 
 THRESHOLD, BLOCK = 0.93, 2048
 #: Room for the rounding of the approximation itself.
@@ -76,7 +76,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     Other columns are left out.  Tiles return counts and a spanning forest, never
     pairs, so a group of copies costs no more than its size.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
+    rows = steady(df).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     good = F.col("e").isNotNull() & F.col("label").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
     usable = rows.where(good)
     classes = stored(usable.groupBy("label", "e").agg(F.min("row").alias("class"), F.count("*").alias("many")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _rolling
 from ._arrow import run, slices
-from .components import connected, stored
+from .components import connected, steady, stored
 from .repeats import ROW, TEXT, Units, text_bytes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -298,7 +298,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows are members of one class; null ids sort last.  Other columns are left
     out.  The input should be a stored table, since its rows are read again.
     """
-    rows = df.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(TEXT))
+    rows = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(TEXT))
     of = stored(groups(rows, threshold))
     member = rows.select(ROW, "doc_id").join(of, ROW)
     class_ids = member.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("root").alias("root"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("best"))
@@ -309,7 +309,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that ``near_duplicates`` keeps, all columns as they are."""
-    numbered = df.select(F.monotonically_increasing_id().alias(ROW), F.struct(*df.columns).alias("__all"))
+    numbered = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.struct(*df.columns).alias("__all"))
     rows = numbered.select(ROW, F.col(f"__all.{id_col}").cast("long").alias("doc_id"), F.col(f"__all.{text_col}").cast("string").alias(TEXT))
     of = stored(groups(rows, threshold))
     best = rows.select(ROW, "doc_id").join(of, ROW).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("best")).select(F.col("best.row").alias(ROW))

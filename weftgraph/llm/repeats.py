@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _rolling
 from ._arrow import run, slices
-from .components import written
+from .components import steady, written
 
 ROW = "__row"
 RANGES = "__ranges"
@@ -63,7 +63,7 @@ def numbered(df: DataFrame, text_col: str) -> DataFrame:
     the input is a stored table.  Repeated rows and null or repeated ids are told
     apart by it.
     """
-    return df.withColumns({ROW: F.monotonically_increasing_id(), TEXT: F.col(text_col).cast("string")})
+    return steady(df).withColumns({ROW: F.monotonically_increasing_id(), TEXT: F.col(text_col).cast("string")})
 
 
 def groups(rows: DataFrame, window: int, gram: int, words: bool) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
+from .components import steady
 from .repeats import ROW, TEXT
 
 WINDOW, GRAM = 35, 6
@@ -76,7 +77,7 @@ def clean(df: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFr
     """``df`` with repeated passages cut from a text column; other columns and rows stay, null texts too."""
     names = df.columns
     others = [c for c in names if c != text_col]
-    rows = df.select(F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias(TEXT), F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__held")).alias("__others"))
+    rows = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias(TEXT), F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__held")).alias("__others"))
 
     def emit(batch: pa.RecordBatch, texts: list[bytes], runs: list) -> pa.RecordBatch:
         at = batch.schema.get_field_index
