@@ -171,6 +171,7 @@ class Writer(Compiler):
         return replace(state, df=df), entity
 
     def create(self, p: t.PathPattern, state: State, row: str) -> State:
+        state = self.prepare([x.props for x in (*p.nodes, *p.rels) if x.props is not None], state)
         names = [n.var or f" {self.fresh('anon')}" for n in p.nodes]
         for name, node in zip(names, p.nodes, strict=True):
             if name in state.scope:
@@ -198,6 +199,7 @@ class Writer(Compiler):
         """Match or create, once per distinct key; rows after the first of a key see it as matched."""
         p = clause.pattern
         exprs = [*[n.props for n in p.nodes], *[r.props for r in p.rels]]
+        state = self.prepare([m for m in exprs if m is not None], state)
         keys = [self.expr(e, state) for m in exprs if m is not None for e in m.items.values()]
         if any(k.kind == "null" for k in keys):
             raise CypherError("MERGE takes no null property")
@@ -264,6 +266,8 @@ class Writer(Compiler):
         return replace(state, df=df.drop(f"{row}_set"), scope=scope)
 
     def set_item(self, item: t.SetItem, state: State, row: str, when: Column | None = None) -> State:
+        if not isinstance(item.target, t.HasLabels):
+            state = self.prepare([item.value], state)
         if isinstance(item.target, t.HasLabels):
             e = self.target(item.target.of, state)
             self.batch.count("labels_added", state.df.where(~F.arrays_overlap(e.col("labels"), F.array(*map(F.lit, item.target.labels)))))

@@ -27,6 +27,8 @@ from .parser import AGGREGATES
 
 LAMBDAS = (t.Comprehension, t.Quantifier, t.Reduce)
 SUBQUERIES = (t.PatternTest, t.Exists, t.PatternList)
+#: Functions that give a node from a relationship, and where the relationship has its id.
+ENDS = {"startnode": "from_id", "endnode": "to_id"}
 
 
 @dataclass
@@ -269,6 +271,7 @@ class Compiler:
             return state
         if not isinstance(props, t.MapOf):
             raise CypherError("a pattern's properties are a map")
+        state = self.prepare(list(props.items.values()), state)
         df = state.df
         for key, e in props.items.items():
             own = self.entity_prop(state, entity, key)
@@ -572,8 +575,11 @@ class Compiler:
         return State(df.select(*cols), {refs[0]: Entity("node", e.prefix, {}, e.labels, e.key_label)})
 
     def prepare(self, exprs: list, state: State) -> State:
-        """Add a column for each subquery expression."""
+        """Add a column for each subquery expression and for the nodes of startNode and endNode."""
         for e in exprs:
+            for node, around in self.ends_in(e):
+                if id(node) not in state.ready:
+                    state = self.end_nodes(node, around, state)
             for node in self.subqueries(e):
                 if id(node) in state.ready:
                     continue
@@ -601,6 +607,63 @@ class Compiler:
             return found
         return []
 
+    def ends_in(self, e, around: tuple = ()):
+        """Calls of startNode and endNode of which more than the identity is read, inner ones first, each with the lambdas around it."""
+        if isinstance(e, SUBQUERIES):
+            return
+        if isinstance(e, (list, tuple)):
+            for x in e:
+                yield from self.ends_in(x, around)
+        elif isinstance(e, dict):
+            yield from self.ends_in(list(e.values()), around)
+        elif isinstance(e, LAMBDAS):
+            inner = (*around, e)
+            for n in e.__dataclass_fields__:
+                yield from self.ends_in(getattr(e, n), around if n in ("source", "start") else inner)
+        elif hasattr(e, "__dataclass_fields__"):
+            for n in e.__dataclass_fields__:
+                x = getattr(e, n)
+                for y in x if isinstance(x, list) else [x]:
+                    yield from self.ends_in(y.args if identity_only(e) and is_end(y) else y, around)
+            if is_end(e):
+                yield e, around
+
+    def end_nodes(self, e: t.Call, around: tuple, state: State) -> State:
+        """Join the nodes at an end of relationships: one a row or, under lambdas, all that these can ask for, by id."""
+        from ..operators.paths import all_nodes
+
+        if len(e.args) != 1:
+            raise CypherError(f"{e.name} takes one argument")
+        bound = names_in(e.args)
+        local = [x for x in around if bound & lambda_names(x)]
+        if any(isinstance(x, t.Reduce) and x.acc in bound for x in local):
+            raise CypherError(f"{e.name} cannot use an accumulator")
+        name, at, nodes = self.fresh("q"), self.fresh("q"), all_nodes(self)
+        listed = e.args[0]
+        for x in reversed(around if local else ()):
+            listed = t.Comprehension(x.var, x.source, None, listed, text="")
+        v = self.expr(listed, state)
+        depth, kind = 0, v.type
+        while isinstance(kind, T.ArrayType):
+            depth, kind = depth + 1, kind.elementType
+        if v.kind == "null" or isinstance(kind, T.NullType):
+            return state
+        if not isinstance(kind, T.StructType) or REL not in kind.fieldNames():
+            raise CypherTypeError(f"{e.name} takes relationship, not {v.kind}")
+        if not local:
+            scalar.want(v, e.name, "relationship")
+            df = state.df.withColumn(at, v.col[ENDS[e.name]])
+            df = df.join(nodes.select(c("$far_id").alias(f"{at}$id"), c("$node").alias(name)), c(at) == c(f"{at}$id"), "left").drop(f"{at}$id", at)
+            return replace(state, df=df, ready={**state.ready, id(e): name}, unit=False)
+        rels = v.col
+        for _ in range(depth - 1):
+            rels = F.flatten(F.filter(rels, lambda x: x.isNotNull()))
+        df = state.df.withColumn(at, F.array_sort(F.array_distinct(F.transform(rels, lambda r: r[ENDS[e.name]]))))
+        found = df.select(at).distinct().select(at, F.explode(at).alias("$far_id")).join(nodes, "$far_id")
+        found = found.groupBy(at).agg(F.map_from_entries(F.collect_list(F.struct("$far_id", "$node"))).alias(name))
+        df = df.join(found, at, "left").drop(at)
+        return replace(state, df=df, ready={**state.ready, ("ends", id(e)): name}, unit=False)
+
     def pattern_list(self, node: t.PatternList, name: str, state: State) -> State:
         """A list per row: the pattern over the distinct imports, collected by them."""
         if node.pattern.shortest:
@@ -801,6 +864,11 @@ class Compiler:
                 return t.Var(f" {name}", text=e.text)
             if isinstance(e, t.Expr) and e.text and e.text in known:
                 return t.Var(known[e.text], text=e.text)
+            if id(e) in state.ready and is_end(e):
+                name = self.fresh("a")
+                aggs.append(F.first(self.expr(e, state).col).alias(name))
+                inside[f" {name}"] = name
+                return t.Var(f" {name}", text=e.text)
             if isinstance(e, (t.Var, t.Prop)) and not (isinstance(e, t.Var) and e.name in scope):
                 if isinstance(e, t.Prop) and isinstance(e.of, t.Var) and e.of.name in scope:
                     return e
@@ -891,12 +959,14 @@ class Compiler:
             case t.Unary(op, of):
                 return self.unary(op, go(of))
             case t.Binary(op, left, right):
+                if identity_only(e):
+                    return self.binary(op, self.identity(left, state, local), self.identity(right, state, local))
                 return self.binary(op, go(left), go(right))
             case t.IsNull(of, negated):
                 if isinstance(of, t.Var) and of.name not in local and isinstance(b := state.scope.get(of.name), Entity):
                     v = self.val(b.col("list" if b.kind == "rels" else "id"), state)
                 else:
-                    v = go(of)
+                    v = self.identity(of, state, local)
                 return make(lambda x: x.isNotNull() if negated else x.isNull(), v)
             case t.HasLabels(of, labels):
                 v = go(of)
@@ -1133,18 +1203,20 @@ class Compiler:
         if e.name == "randomuuid":
             return self.val(F.expr("uuid()"), state)
         if e.name == "exists":
-            return make(lambda x: x.isNotNull(), self.expr(e.args[0], state, local))
+            return make(lambda x: x.isNotNull(), self.identity(e.args[0], state, local))
         if len(e.args) == 1 and isinstance(e.args[0], t.Var) and e.args[0].name not in local and isinstance(b := state.scope.get(e.args[0].name), Entity):
             short = {("node", "id"): "id", ("rel", "id"): "id", ("node", "elementid"): "id", ("rel", "elementid"): "id", ("node", "labels"): "labels", ("node", "body"): "body", ("rel", "type"): "type"}
             if (b.kind, e.name) in short:
                 return self.val(b.col(short[(b.kind, e.name)]), state)
-            if b.kind == "rel" and e.name in ("startnode", "endnode"):
-                return self.end_node(b, e.name, state)
-        args = [self.expr(a, state, local) for a in e.args]
-        if e.name in ("startnode", "endnode"):
+        args = [self.identity(a, state, local) if identity_only(e) else self.expr(a, state, local) for a in e.args]
+        if e.name in ENDS:
+            if args[0].kind == "null":
+                return args[0]
             scalar.want(args[0], e.name, "relationship")
-            at = "from_id" if e.name == "startnode" else "to_id"
-            return make(lambda r: F.when(r.isNotNull(), F.struct(r[at].alias(NODE), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("body"), F.struct(F.lit(None).cast("string").alias("none")).alias("props"))), args[0])
+            if ("ends", id(e)) not in state.ready:
+                raise CypherError(f"{e.name} cannot be read here; take it in a WITH before")
+            found = self.val(c(state.ready["ends", id(e)]), state)
+            return make(lambda r, m: F.try_element_at(m, r[ENDS[e.name]]), args[0], found)
         out = scalar.call(e.name, args)
         if out is None:
             out = temporal.call(e.name, args, self.clock, lambda v: self.literal(v, state))
@@ -1152,14 +1224,28 @@ class Compiler:
             raise CypherError(f"unknown function {e.name}")
         return out
 
-    def end_node(self, b: Entity, which: str, state: State) -> Val:
-        """The node at an end of a relationship: the bound one if the pattern names it, else its identity."""
-        at = b.col("from" if which == "startnode" else "to")
-        tables = [x for x in state.scope.values() if isinstance(x, Entity) and x.kind == "node"]
-        out = F.struct(at.alias(NODE), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("body"), F.struct(*[F.lit(None).cast(v).alias(k) for k, v in sorted(self.graph.node_props().items())] or [F.lit(None).cast("string").alias("none")]).alias("props"))
-        for n in tables:
-            out = F.when(n.col("id") == at, self.entity_struct(n, path=True)).otherwise(out)
-        return self.val(F.when(at.isNotNull(), out), state)
+    def identity(self, e: t.Expr, state: State, local: dict) -> Val:
+        """An expression of which nothing but the identity is read: an end of a relationship needs no join then."""
+        if not is_end(e) or len(e.args) != 1:
+            return self.expr(e, state, local)
+        v = self.expr(e.args[0], state, local)
+        if v.kind == "null":
+            return v
+        scalar.want(v, e.name, "relationship")
+        return make(lambda r: F.when(r.isNotNull(), F.struct(r[ENDS[e.name]].alias(NODE), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("body"), F.struct(F.lit(None).cast("string").alias("none")).alias("props"))), v)
+
+
+def is_end(e) -> bool:
+    return isinstance(e, t.Call) and e.name in ENDS
+
+
+def identity_only(e) -> bool:
+    """Whether the expression reads no more of nodes among its parts than which they are."""
+    return isinstance(e, t.IsNull) or (isinstance(e, t.Binary) and e.op in ("=", "<>")) or (isinstance(e, t.Call) and e.name in ("id", "elementid", "exists"))
+
+
+def lambda_names(e) -> set[str]:
+    return {e.var, e.acc} if isinstance(e, t.Reduce) else {e.var}
 
 
 def replace_col(v: Val, col: Column) -> Val:

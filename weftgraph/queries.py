@@ -71,6 +71,7 @@ READ: dict[str, tuple[str, str]] = {
     "varlen_relationships": ("MATCH (n:Nation)-[rs:CHILD*2]->(o:Order) WHERE all(r IN rs WHERE type(r) = 'CHILD') RETURN sum(size(rs)) AS n", "SELECT CAST(2 * count(*) AS BIGINT) AS n FROM orders"),
     "named_path_length": ("MATCH p = (r:Region)-[:CHILD*1..2]->(x) RETURN length(p) AS l, count(*) AS n, max(size(nodes(p))) AS nodes", "SELECT 1 AS l, count(*) AS n, 2 AS nodes FROM nation UNION ALL SELECT 2, count(*), 3 FROM customer"),
     "path_nodes": ("MATCH p = (r:Region)-[:CHILD]->(n:Nation) RETURN [x IN nodes(p) | id(x)][1] AS id, nodes(p)[0].r_name AS r, startNode(relationships(p)[0]) IS NOT NULL AS ok", "SELECT 'Nation:' || n_nationkey AS id, r_name AS r, true AS ok FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "path_ends": ("MATCH p = (:Region)-[:CHILD]->(:Nation) WITH relationships(p) AS rs RETURN startNode(rs[0]).r_name AS r, [x IN rs | endNode(x).n_name][0] AS n", "SELECT r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey"),
     # optional, semi, anti
     "optional_match": ("MATCH (p:Part) OPTIONAL MATCH (p)<-[l:CONTAINS]-(o:Order {o_orderstatus: 'P'}) RETURN count(DISTINCT p) AS parts, count(l) AS lines, count(*) AS n", "SELECT count(DISTINCT p_partkey) AS parts, count(l_orderkey) AS lines, count(*) AS n FROM part LEFT JOIN (SELECT l_partkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') ON l_partkey = p_partkey"),
     "optional_where": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > c.c_acctbal * 60 RETURN c.c_custkey AS c, count(o) AS n", "SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 60 GROUP BY 1"),
