@@ -36,7 +36,7 @@ def build(call, args: list[Val], compiler) -> Column:
     if name in ("stdev", "stdevp"):
         x = col.cast("double")
         if call.distinct:
-            raise CypherError(f"{name} has no DISTINCT form here")
+            return distinct_deviation(distinct_doubles(v), name == "stdevp")
         if name == "stdevp":
             return F.stddev_pop(x)
         return F.when(F.count(x) == 1, F.lit(0.0)).otherwise(F.stddev_samp(x))
@@ -47,8 +47,36 @@ def build(call, args: list[Val], compiler) -> Column:
     if not 0 <= p <= 1:
         raise CypherError(f"{name} takes a share from 0 to 1")
     x = col.cast("double")
+    if call.distinct:
+        return distinct_percentile(F.array_sort(distinct_doubles(v)), float(p), name == "percentilecont")
     if name == "percentilecont":
         return F.percentile(x, F.lit(float(p)))
     ordered = F.array_sort(F.collect_list(x))
     return F.try_element_at(ordered, (F.ceil(F.lit(float(p)) * (F.count(x) - 1)) + 1).cast("int"))
 
+
+def distinct_doubles(v: Val) -> Column:
+    """Integers are told apart before they become floats, and there is one zero."""
+    x = v.col.cast("double")
+    return F.collect_set(v.col if v.kind == "integer" else F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("array<double>")
+
+
+def distinct_deviation(values: Column, whole: bool) -> Column:
+    n = F.size(values)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = total(values) / n
+    squares = total(F.transform(values, lambda x: (x - mean) * (x - mean)))
+    if whole:
+        return F.when(n > 0, F.sqrt(squares / n))
+    return F.when(n == 1, F.lit(0.0)).when(n > 1, F.sqrt(squares / (n - 1)))
+
+
+def distinct_percentile(ordered: Column, p: float, between: bool) -> Column:
+    """Of sorted values, as the plain forms below: interpolated, or the value at a place rounded up."""
+    n = F.size(ordered)
+    at = F.lit(p) * (n - 1)
+    if not between:
+        return F.try_element_at(ordered, (F.ceil(at) + 1).cast("int"))
+    low = F.try_element_at(ordered, (F.floor(at) + 1).cast("int"))
+    high = F.try_element_at(ordered, (F.ceil(at) + 1).cast("int"))
+    return F.when(n > 0, low + (high - low) * (at - F.floor(at)))

@@ -102,6 +102,10 @@ READ: dict[str, tuple[str, str]] = {
     "stdevp": ("MATCH (c:Customer) RETURN stdevp(c.c_acctbal) AS s", "SELECT stddev_pop(c_acctbal) AS s FROM customer"),
     "percentile_cont": ("MATCH (o:Order) RETURN o.o_orderstatus AS s, percentileCont(o.o_totalprice, 0.9) AS p", "SELECT o_orderstatus AS s, quantile_cont(o_totalprice, 0.9) AS p FROM orders GROUP BY 1"),
     "percentile_disc": ("MATCH (c:Customer) RETURN c.c_mktsegment AS s, percentileDisc(c.c_acctbal, 0.5) AS p", "SELECT c_mktsegment AS s, list_sort(list(c_acctbal))[CAST(ceil(0.5 * (count(*) - 1)) AS INTEGER) + 1] AS p FROM customer GROUP BY 1"),
+    "distinct_spread": (
+        "MATCH (:Order)-[l:CONTAINS]->() RETURN l.l_returnflag AS f, percentileDisc(DISTINCT l.l_quantity, 0.3) AS d, percentileCont(DISTINCT l.l_quantity, 0.3) AS c, stdev(DISTINCT l.l_quantity) AS s, stdevp(DISTINCT l.l_quantity) AS p",
+        "SELECT l_returnflag AS f, list_sort(list(q))[CAST(ceil(0.3 * (count(*) - 1)) AS INTEGER) + 1] AS d, quantile_cont(q, 0.3) AS c, stddev_samp(q) AS s, stddev_pop(q) AS p FROM (SELECT DISTINCT l_returnflag, CAST(l_quantity AS DOUBLE) AS q FROM lineitem) GROUP BY 1",
+    ),
     "collect_size": ("MATCH (n:Nation)-[:CHILD]->(c:Customer) RETURN n.n_name AS n, size(collect(c.c_name)) AS k", "SELECT n_name AS n, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
     "collect_distinct": ("MATCH (n:Nation)-[:CHILD]->(c:Customer) WITH n, collect(DISTINCT c.c_mktsegment) AS l RETURN n.n_name AS n, size(l) AS k", "SELECT n_name AS n, count(DISTINCT c_mktsegment) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
     "global_agg_empty": ("MATCH (n:Nation) WHERE n.n_nationkey < 0 RETURN count(*) AS c, sum(n.n_nationkey) AS s, size(collect(n.n_name)) AS l, avg(n.n_nationkey) AS a, max(n.n_name) AS m", "SELECT 0 AS c, 0 AS s, 0 AS l, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS VARCHAR) AS m"),
@@ -156,6 +160,7 @@ FLOATS = {
     "stdevp": ["s"],
     "percentile_cont": ["p"],
     "percentile_disc": ["p"],
+    "distinct_spread": ["d", "c", "s", "p"],
     "agg_in_expression": ["mean"],
     "group_by_node": ["m"],
     "numeric_functions": ["a", "c", "r", "p"],
