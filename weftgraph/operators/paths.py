@@ -184,6 +184,8 @@ def search(comp: Compiler, state: State, a: Entity, b: Entity, rel: t.RelPattern
         level += 1
         nxt = frontier.join(edges, c("$at") == c("$near")).join(seen.select(c("$src").alias("$s"), c("$at").alias("$seen")), (c("$src") == c("$s")) & (c("$far_id") == c("$seen")), "left_anti")
         nxt = nxt.select("$src", "$far_id", "$nodes", F.concat("$rels", F.array("$rel")).alias("$rels"))
+        if level == hi:  # nothing is searched from here on, so only wanted ends count
+            nxt = nxt.join(left.select(c("$src").alias("$s"), c("$dst").alias("$d")), (c("$src") == c("$s")) & (c("$far_id") == c("$d")), "left_semi")
         if kind == "one":
             key = F.transform("$rels", lambda r: r[REL])
             nxt = nxt.groupBy("$src", "$far_id").agg(F.min_by(F.struct("$nodes", "$rels"), key).alias("$best")).select("$src", "$far_id", "$best.$nodes", "$best.$rels")
