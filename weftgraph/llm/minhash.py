@@ -10,6 +10,7 @@ their shingles; links are joined into groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,6 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Members of a cluster of candidates in one block; a task compares two blocks.
 TILE = 512
-#: Pairs whose signatures agree this much less than the threshold are not worth reading: five deviations of the estimate.
-MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
 _TIME, _PLACE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -66,10 +65,20 @@ def sign(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, registers:
     return kept.reshape(n, registers)
 
 
+def bands_for(threshold: float) -> int:
+    """How many bands miss a pair at the threshold no more often than BANDS miss one at THRESHOLD."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
+    if threshold >= THRESHOLD:
+        return BANDS
+    return math.ceil(BANDS * math.log1p(-(THRESHOLD**ROWS)) / math.log1p(-(threshold**ROWS)))
+
+
 def bands(signature: np.ndarray) -> np.ndarray:
     """One key per band, different from band to band."""
-    parts = signature.reshape(len(signature), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE, parts.shape[:2])
+    count = signature.shape[1] // ROWS
+    parts = signature.reshape(len(signature), count, ROWS)
+    key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64) * _PLACE, parts.shape[:2])
     for r in range(ROWS):
         key = _rolling.mix(key * _TIME + parts[:, :, r])
     return key
@@ -94,9 +103,10 @@ def similarity(a: bytes, b: bytes) -> float:
     return total
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """row, d1, d2 (digest of the words), keys (of the bands) and signature (16 bits a register); texts without words have null digests."""
-    schema = pa.schema([(ROW, pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
+def sketches(rows: DataFrame, threshold: float) -> DataFrame:
+    """row, d1, d2 (digest of the words) and keys (of the bands); texts without words have null digests."""
+    schema = pa.schema([(ROW, pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    count = bands_for(threshold)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +116,13 @@ def sketches(rows: DataFrame) -> DataFrame:
                 u = Units(texts[a:b], words=True)
                 digest = [_rolling.Rolling(h, k).of(u.first, u.first + u.count).view(np.int64) for k, h in enumerate(u.hashes)]
                 none = u.count == 0
-                signature = sign(*shingles(texts[a:b]), n)
+                signature = sign(*shingles(texts[a:b]), n, count * ROWS)
                 keys = bands(signature).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                short = signature.astype(np.uint16)
-                cols = row[a:b], pa.array(digest[0], mask=none), pa.array(digest[1], mask=none), lists, pa.array([s.tobytes() for s in short], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
+                cols = row[a:b], pa.array(digest[0], mask=none), pa.array(digest[1], mask=none), lists
                 yield pa.RecordBatch.from_arrays(list(cols), schema=schema)
 
-    return run(rows.select(ROW, TEXT), kernel, f"{ROW} long, d1 long, d2 long, keys array<long>, signature binary")
+    return run(rows.select(ROW, TEXT), kernel, f"{ROW} long, d1 long, d2 long, keys array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -178,13 +187,13 @@ def similarities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) ->
     return out
 
 
-def links_of(texts: list[bytes], signature: np.ndarray, keys: np.ndarray, side: np.ndarray, root: np.ndarray, threshold: float) -> np.ndarray:
+def links_of(texts: list[bytes], keys: np.ndarray, side: np.ndarray, root: np.ndarray, threshold: float) -> np.ndarray:
     """Group of each text by its links: pairs of different sides and roots that share a band.
 
     ``side`` holds bit 1 for the tile's first block and bit 2 for its second.
     Texts whose shingles are light are compared in matrices; what comes close to the
-    threshold there, and pairs of other texts whose signatures leave a chance, are
-    computed one by one, unless they are connected by then.
+    threshold there, and all pairs of other texts, are computed one by one, unless
+    they are connected by then.
     """
     n = len(texts)
     doc, h, weight = shingles(texts)
@@ -204,7 +213,7 @@ def links_of(texts: list[bytes], signature: np.ndarray, keys: np.ndarray, side:
     group = forest_of(group, a, b)
     open_ = pair & np.where(plain, np.abs(found - threshold) < 1e-4, True)
     for a, b in zip(*np.nonzero(open_), strict=True):
-        if group[a] != group[b] and (plain[a, b] or (signature[a] == signature[b]).mean() >= threshold - MARGIN) and similarity(texts[a], texts[b]) >= threshold:
+        if group[a] != group[b] and similarity(texts[a], texts[b]) >= threshold:
             group[group == max(group[a], group[b])] = min(group[a], group[b])
     return group
 
@@ -228,23 +237,22 @@ def forest_of(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def tiled(rest: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join what shares a band and is not of one root yet.
 
-    rest: cluster, class, root, keys, signature, text.  A cluster's members are
+    rest: cluster, class, root, keys, text.  A cluster's members are
     dealt to blocks, and pairs of blocks are compared as tiles, so no task holds a
     large cluster; a tile returns a spanning set of its links, never pairs.
     """
     sizes = rest.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "keys", "signature", "text")
+    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "keys", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("class").combine_chunks()
         ids, root, own = (table[c].to_numpy() for c in ("class", "root", "own"))
-        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
         keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         side = (own == key[1].as_py()) * 1 | (own == key[2].as_py()) * 2
         before = np.unique(root, return_inverse=True)[1]
-        group = links_of(text_bytes(table["text"].combine_chunks()), signature, keys, side, root, threshold)
+        group = links_of(text_bytes(table["text"].combine_chunks()), keys, side, root, threshold)
         # A link from the first member of each earlier group to the first of what it has joined.
         first = {int(g): int(i) for i, g in reversed(list(zip(ids, group, strict=True)))}
         start = {int(g): (int(i), int(first[int(n)])) for i, g, n in reversed(list(zip(ids, before, group, strict=True)))}
@@ -262,10 +270,10 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of different groups are compared tile by tile.  No link between different
     groups is lost that the bands found.
     """
-    found = stored(sketches(rows))
+    found = stored(sketches(rows, threshold))
     worded = found.where("d1 is not null")
-    classes = worded.groupBy("d1", "d2").agg(F.min(F.struct(ROW, "keys", "signature")).alias("one"))
-    classes = stored(classes.select("d1", "d2", F.col(f"one.{ROW}").alias("class"), "one.keys", "one.signature"))
+    classes = worded.groupBy("d1", "d2").agg(F.min(F.struct(ROW, "keys")).alias("one"))
+    classes = stored(classes.select("d1", "d2", F.col(f"one.{ROW}").alias("class"), "one.keys"))
     bucketed = classes.select(F.explode("keys").alias("key"), "class")
     leaders = bucketed.groupBy("key").agg(F.count("*").alias("many"), F.min("class").alias("leader")).where("many > 1").select("key", "leader")
     shared = stored(bucketed.join(leaders, "key"))
@@ -280,7 +288,7 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     clusters = connected(open_.join(heads, "key").select(F.col("head").alias("a"), F.col("class").alias("b")))
     clusters = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     members = open_.select("class", "root").distinct().join(clusters, "class")
-    rest = members.join(classes.select("class", "keys", "signature"), "class").join(rows.select(F.col(ROW).alias("class"), F.col(TEXT).alias("text")), "class")
+    rest = members.join(classes.select("class", "keys"), "class").join(rows.select(F.col(ROW).alias("class"), F.col(TEXT).alias("text")), "class")
     extra = stored(tiled(rest, threshold))
     roots = connected(links.unionByName(extra))
     of_class = classes.select("d1", "d2", "class").join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "class", F.coalesce("root", "class").alias("root"))
