@@ -26,7 +26,9 @@ import numpy as np
 #: Symbols 0 and 1 end the shard and each of its pieces; bytes follow.
 BYTE, SYMBOLS = 2, 258
 BLOCK = 1 << 18
-ENTRY = np.dtype([("at", np.int32), ("shared", np.uint8)])
+#: The longest prefix that is told apart; values are one more at most.
+LONGEST = 2**31 - 2
+ENTRY = np.dtype([("at", np.int32), ("shared", np.int32)])
 
 
 class SymbolQueue:
@@ -111,7 +113,7 @@ class Sorter:
     """Suffix order of one string of symbols, as events on neighbours in that order."""
 
     def __init__(self, text: np.ndarray, cap: int, memory: int = 256 << 20, folder: str | None = None):
-        self.text, self.cap, self.memory, self.folder = text, min(cap, 254), memory, folder
+        self.text, self.cap, self.memory, self.folder = text, min(cap, LONGEST), memory, folder
         n = len(text)
         later = np.sign(np.diff(text.astype(np.int16), append=np.int16(-1)))  # 1: rises to the next, -1: falls
         # Equal neighbours share the type of the next that differs.
@@ -119,7 +121,7 @@ class Sorter:
         nxt = np.minimum.accumulate(where[::-1])[::-1]
         self.small = later[nxt] > 0
         self.small[-1] = True
-        self.run = np.minimum(nxt - np.arange(n) + 1, 255).astype(np.uint8)
+        self.run = np.minimum(nxt - np.arange(n) + 1, LONGEST + 1).astype(np.int32)
         self.lms = np.flatnonzero(self.small & ~np.r_[True, self.small[:-1]])
 
     # -- induction ---------------------------------------------------------
@@ -137,7 +139,7 @@ class Sorter:
         good = (before >= 0) & (~own if not falling else own)
         good &= (target >= symbol) if not falling else (target <= symbol)
         idx = np.flatnonzero(good)
-        rest = np.minimum.accumulate(np.r_[shared, np.uint8(255)][::-1])[::-1]  # least of each tail
+        rest = np.minimum.accumulate(np.r_[shared, np.int32(LONGEST + 1)][::-1])[::-1]  # least of each tail
         if len(idx):
             order = np.argsort(target[idx], kind="stable")
             idx = idx[order]
@@ -146,7 +148,7 @@ class Sorter:
             low = np.r_[0, idx[:-1] + 1]
             low[head] = 0
             bounds = np.column_stack([low, idx + 1]).ravel()
-            value = np.minimum.reduceat(np.r_[shared, np.uint8(255)], bounds)[::2]
+            value = np.minimum.reduceat(np.r_[shared, np.int32(LONGEST + 1)], bounds)[::2]
             value[head] = np.minimum(value[head], least[to[head]])
             out = np.empty(len(idx), ENTRY)
             out["at"], out["shared"] = before[idx], np.minimum(value, self.cap - 1) + 1
@@ -169,7 +171,7 @@ class Sorter:
         symbol_of = self.text[seeds]
         edge = np.searchsorted(symbol_of, np.arange(SYMBOLS + 1))
         up, kept = SymbolQueue(self.memory, self.folder), SymbolQueue(self.memory, self.folder)
-        least = np.zeros(SYMBOLS, np.uint8)
+        least = np.zeros(SYMBOLS, np.int32)
         try:
             for c in range(SYMBOLS):
                 last = None
@@ -190,7 +192,7 @@ class Sorter:
         finally:
             up.close()
         down = SymbolQueue(self.memory, self.folder)
-        least = np.zeros(SYMBOLS, np.uint8)
+        least = np.zeros(SYMBOLS, np.int32)
         try:
             for c in range(SYMBOLS - 1, -1, -1):
                 last = None
@@ -227,7 +229,7 @@ class Sorter:
         start = lms[np.argsort(self.text[lms], kind="stable")]
         is_lms = np.zeros(len(self.text), bool)
         is_lms[lms] = True
-        found = [b["at"][is_lms[b["at"]]] for b, down in self.induce(start, np.zeros(len(start), np.uint8)) if down]
+        found = [b["at"][is_lms[b["at"]]] for b, down in self.induce(start, np.zeros(len(start), np.int32)) if down]
         # The end mark has no successor that would induce it; it comes first.
         order = np.r_[len(self.text) - 1, np.concatenate(found)[::-1] if found else []].astype(np.int64)
         number = np.empty(len(self.text), np.int32)
@@ -280,7 +282,7 @@ class Sorter:
             got = np.where(equal.all(1), 8, equal.argmin(1))
             out[live] += got
             live = live[(got == 8) & (out[live] < self.cap) & (np.maximum(order[live], order[live - 1]) + out[live] < n)]
-        return np.minimum(out, self.cap).astype(np.uint8)
+        return np.minimum(out, self.cap).astype(np.int32)
 
     def marks(self) -> np.ndarray:
         """For each position, whether its suffix shares ``cap`` symbols with a neighbour in order."""
