@@ -21,23 +21,30 @@ from pyspark.sql import functions as F
 from . import _rolling
 from ._arrow import run, slices
 from .components import connected, steady, stored
-from .repeats import ROW, TEXT, Units, text_bytes
+from .repeats import ROW, TEXT, Units, expand, text_bytes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Members of a cluster of candidates in one block; a task compares two blocks.
-TILE = 512
+#: Members of a bucket, and bytes of their texts, in one block; a tile compares two blocks.
+TILE, TILE_BYTES = 1024, 4 << 20
+#: Shingles that are compared with one text at once.
+GATHER = 1 << 20
+#: Room for the rounding of sums of fractions.
+ROUNDING = 1e-9
 
 _TIME, _PLACE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash and count of each distinct shingle; a text of fewer words has one of all its words."""
-    u = Units(texts, words=True)
+    return weighted(Units(texts, words=True), width)
+
+
+def weighted(u: Units, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     roll = _rolling.Rolling(u.hashes[0], 0)
     n = np.where(u.count >= width, u.count - width + 1, np.minimum(u.count, 1))
-    doc = np.repeat(np.arange(len(texts)), n)
+    doc = np.repeat(np.arange(len(n)), n)
     start = u.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     h = roll.of(start, np.minimum(start + width, u.end_of[start]) if len(start) else start)
     order = np.lexsort((h, doc))
@@ -84,241 +91,231 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Probability Jaccard of the weighted shingles of two texts.
-
-    The sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i).
-    Shingles count by their pair of weights, of which there are few.
-    """
-    doc, h, n = shingles([a, b])
-    order = np.argsort(h, kind="stable")
-    doc, h, n = doc[order], h[order], n[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    x, y = (np.add.reduceat(np.where(doc == k, n, 0), head) if len(head) else head for k in (0, 1))
-    pairs, many = np.unique(np.column_stack([x, y]), axis=0, return_counts=True) if len(x) else (np.zeros((0, 2)), np.zeros(0))
-    total = 0.0
-    for (p, q), k in zip(pairs.tolist(), many.tolist(), strict=True):
-        if p and q:
-            total += k / float((many * np.maximum(pairs[:, 0] / p, pairs[:, 1] / q)).sum())
-    return total
-
-
 def sketches(rows: DataFrame, threshold: float) -> DataFrame:
-    """row, d1, d2 (digest of the words) and keys (of the bands); texts without words have null digests."""
-    schema = pa.schema([(ROW, pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """row, doc_id, d1, d2 (digest of the words), size (bytes) and keys (of the bands); texts without words have null digests."""
+    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
     count = bands_for(threshold)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, texts = batch.column(0), text_bytes(batch.column(1))
+            row, doc_id, texts = batch.column(0), batch.column(1), text_bytes(batch.column(2))
             for a, b in slices(texts):
                 n = b - a
                 u = Units(texts[a:b], words=True)
                 digest = [_rolling.Rolling(h, k).of(u.first, u.first + u.count).view(np.int64) for k, h in enumerate(u.hashes)]
                 none = u.count == 0
-                signature = sign(*shingles(texts[a:b]), n, count * ROWS)
+                signature = sign(*weighted(u, SHINGLE), n, count * ROWS)
                 keys = bands(signature).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
-                cols = row[a:b], pa.array(digest[0], mask=none), pa.array(digest[1], mask=none), lists
+                cols = row[a:b], doc_id[a:b], pa.array(digest[0], mask=none), pa.array(digest[1], mask=none), pa.array(list(map(len, texts[a:b])), pa.int64()), lists
                 yield pa.RecordBatch.from_arrays(list(cols), schema=schema)
 
-    return run(rows.select(ROW, TEXT), kernel, f"{ROW} long, d1 long, d2 long, keys array<long>")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of rows whose similarity is ``threshold`` or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-    texts = stored(rows.select(ROW, TEXT).join(ends, ROW))
-    both = pairs.join(texts.select(F.col(ROW).alias("a"), F.col(TEXT).alias("text_a")), "a").join(texts.select(F.col(ROW).alias("b"), F.col(TEXT).alias("text_b")), "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index
-            x, y = (text_bytes(batch.column(at(c))) for c in ("text_a", "text_b"))
-            keep = pa.array([similarity(p, q) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(at("a")), batch.column(at("b"))], schema=schema).filter(keep)
-
-    return run(both, kernel, "a long, b long")
-
+    return run(rows.select(ROW, "doc_id", TEXT), kernel, f"{ROW} long, doc_id long, d1 long, d2 long, size long, keys array<long>")
+
+
+class Bags:
+    """Weighted shingles of the texts of some tiles, by dense numbers."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [(doc + a, h, weight) for a, b in slices(texts) for doc, h, weight in [shingles(texts[a:b])]]
+        doc, h, weight = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        values, self.at = np.unique(h, return_inverse=True)
+        self.weight, self.edge = weight.astype(np.float64), np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.total = np.bincount(doc, self.weight, len(texts))
+        self.spread = np.zeros(len(values))  # the weights of one text at a time
+
+    def near(self, one: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether each of the others has a probability Jaccard of ``threshold`` or more with one.
+
+        Registers agree no more often than the distributions overlap, so others
+        whose overlap is less are settled by it.  With r = y / x over the common
+        shingles, the similarity is the sum over i of 1 / (x-mass up to r_i over x_i +
+        y-mass above r_i over y_i), where the shingles of one text alone lie at the ends.
+        """
+        size = self.edge[others + 1] - self.edge[others]
+        out = np.zeros(len(others), bool)
+        mine = slice(self.edge[one], self.edge[one + 1])
+        self.spread[self.at[mine]] = self.weight[mine]
+        stop = np.cumsum(size)
+        a = 0
+        while a < len(others):
+            b = max(a + 1, int(np.searchsorted(stop, (stop[a - 1] if a else 0) + GATHER, side="right")))
+            out[a:b] = self._near(one, others[a:b], size[a:b], threshold)
+            a = b
+        self.spread[self.at[mine]] = 0
+        return out
+
+    def _near(self, one: int, others: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+        place = expand(self.edge[others], size)
+        x = self.spread[self.at[place]]
+        both = np.flatnonzero(x)
+        owner = np.repeat(np.arange(len(others)), size)[both]
+        x, y = x[both], self.weight[place[both]]
+        whole, wholes = self.total[one], self.total[others]
+        overlap = np.bincount(owner, np.minimum(x / whole, y / wholes[owner]), len(others))
+        some = (overlap >= threshold - ROUNDING)[owner]
+        owner, x, y = owner[some], x[some], y[some]
+        if not len(owner):
+            return np.zeros(len(others), bool)
+        ratio = y / x
+        if ratio.min() != ratio.max():
+            order = np.lexsort((ratio, owner))
+            owner, x, y = owner[order], x[order], y[order]
+        in_x, in_y = np.bincount(owner, x, len(others)), np.bincount(owner, y, len(others))
+        before_x, before_y = np.cumsum(in_x) - in_x, np.cumsum(in_y) - in_y
+        up_to, above = np.cumsum(x) - before_x[owner], in_y[owner] - (np.cumsum(y) - before_y[owner])
+        under = (whole - in_x[owner] + up_to) / x + (wholes[owner] - in_y[owner] + above) / y
+        return np.bincount(owner, 1 / under, len(others)) >= threshold - ROUNDING
 
-def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int, width: int, columns: int = 4096) -> np.ndarray:
-    """How many columns each two of n texts share, x of the first and y of the second: (text, column), by column; products of incidence blocks."""
-    out = np.zeros((n, n), np.float32)
-    for a in range(0, width, columns):
-        blocks = []
-        for doc, at in (x, y):
-            lo, hi = np.searchsorted(at, [a, a + columns])
-            block = np.zeros((n, min(columns, width - a)), np.float32)
-            block[doc[lo:hi], at[lo:hi] - a] = 1
-            blocks.append(block)
-        out += blocks[0] @ blocks[1].T
-    return out
 
+def similarity(a: bytes, b: bytes) -> float:
+    """Probability Jaccard of the weighted shingles of two texts.
 
-#: Shingle weights up to this are compared in matrices; texts with larger ones one by one.
-LIGHT = 3
+    The sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i).
+    Shingles count by their pair of weights, of which there are few.
+    """
+    doc, h, n = shingles([a, b])
+    order = np.argsort(h, kind="stable")
+    doc, h, n = doc[order], h[order], n[order]
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    x, y = (np.add.reduceat(np.where(doc == k, n, 0), head) if len(head) else head for k in (0, 1))
+    pairs, many = np.unique(np.column_stack([x, y]), axis=0, return_counts=True) if len(x) else (np.zeros((0, 2)), np.zeros(0))
+    total = 0.0
+    for (p, q), k in zip(pairs.tolist(), many.tolist(), strict=True):
+        if p and q:
+            total += k / float((many * np.maximum(pairs[:, 0] / p, pairs[:, 1] / q)).sum())
+    return total
 
 
-def similarities(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Probability Jaccard of all pairs of n texts with weights up to LIGHT.
+def links_of(bags: Bags, keys: np.ndarray, band: int, texts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Group of each text of a tile, by the links between its left and right ones.
 
-    With c[p, q] shingles of weight p in one text and q in the other, it is the sum
-    over p, q > 0 of c[p, q] / sum over r, s of c[r, s] max(r / p, s / q).
+    ``texts`` are their numbers in ``bags``.  A pair is compared in the tile of the first band that it shares, and the first text
+    with all, which joins most of a group of copies at once; pairs of one group
+    are not compared again.
     """
-    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-    size = {p: np.bincount(doc[weight == p], minlength=n).astype(np.float32) for p in range(1, LIGHT + 1)}
-    some = times[at] > 1  # a shingle of one text is shared by none
-    doc, at, weight = doc[some], np.unique(at[some], return_inverse=True)[1], weight[some]
-    width = int(at.max()) + 1 if len(at) else 0
-    order = np.argsort(at, kind="stable")
-    doc, at, weight = doc[order], at[order], weight[order]
-    parts = {p: (doc[weight == p], at[weight == p]) for p in range(1, LIGHT + 1)}
-    levels = [p for p in parts if size[p].any()]
-    c = {(p, q): common(parts[p], parts[q], n, width) for p in levels for q in levels}
-    for p in levels:
-        c[p, 0] = size[p][:, None] - sum(c[p, q] for q in levels)
-        c[0, p] = size[p][None, :] - sum(c[q, p] for q in levels)
-    out = np.zeros((n, n), np.float32)
-    for p in levels:
-        for q in levels:
-            under = sum(v * np.float32(max(r / p, s / q)) for (r, s), v in c.items())
-            out += c[p, q] / np.maximum(under, np.float32(1e-9))
-    return out
-
-
-def links_of(texts: list[bytes], keys: np.ndarray, side: np.ndarray, root: np.ndarray, threshold: float) -> np.ndarray:
-    """Group of each text by its links: pairs of different sides and roots that share a band.
-
-    ``side`` holds bit 1 for the tile's first block and bit 2 for its second.
-    Texts whose shingles are light are compared in matrices; what comes close to the
-    threshold there, and all pairs of other texts, are computed one by one, unless
-    they are connected by then.
-    """
-    n = len(texts)
-    doc, h, weight = shingles(texts)
-    light = np.ones(n, bool)
-    light[doc[weight > LIGHT]] = False
-    group = np.unique(root, return_inverse=True)[1]
-    pair = np.triu((side[:, None] & 1) * (side[None, :] & 2) | (side[:, None] & 2) * (side[None, :] & 1), 1) > 0
-    pair &= group[:, None] != group[None, :]
-    banded = np.zeros((n, n), bool)
-    for k in range(keys.shape[1]):
-        banded |= keys[:, k, None] == keys[None, :, k]
-    pair &= banded
-    mine = light[doc]
-    found = similarities(doc[mine], h[mine], weight[mine], n)
-    plain = light[:, None] & light[None, :]
-    a, b = np.nonzero(pair & plain & (found >= threshold + 1e-4))
-    group = forest_of(group, a, b)
-    open_ = pair & np.where(plain, np.abs(found - threshold) < 1e-4, True)
-    for a, b in zip(*np.nonzero(open_), strict=True):
-        if group[a] != group[b] and similarity(texts[a], texts[b]) >= threshold:
-            group[group == max(group[a], group[b])] = min(group[a], group[b])
+    group = np.arange(len(texts))
+    for i in np.flatnonzero(left):
+        other = right.copy()
+        other[: i + 1] &= ~left[: i + 1]  # of two that are both left and right, once
+        other[i] = False
+        at = np.flatnonzero(other & (group != group[i]))
+        if i and band and len(at):
+            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+        if not len(at):
+            continue
+        hit = at[bags.near(texts[i], texts[at], threshold)]
+        if len(hit):
+            joined = np.zeros(len(texts), bool)
+            joined[group[hit]] = joined[group[i]] = True
+            same = joined[group]
+            group[same] = group[same].min()
     return group
 
 
-def forest_of(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Groups joined along the links (a, b), each under its smallest number."""
-    while len(a):
-        low = np.minimum(group[a], group[b])
-        new = np.arange(len(group) + 1)
-        np.minimum.at(new, group[a], low)
-        np.minimum.at(new, group[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        joined = new[group]
-        if (joined == group).all():
-            break
-        group = joined
-    return group
-
+def compared(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join what is similar within each bucket.
 
-def tiled(rest: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join what shares a band and is not of one root yet.
-
-    rest: cluster, class, root, keys, text.  A cluster's members are
-    dealt to blocks, and pairs of blocks are compared as tiles, so no task holds a
-    large cluster; a tile returns a spanning set of its links, never pairs.
+    members: key, x, y, own, class, keys, text, a row for each tile (x, y) of a
+    bucket in which the class is.  A tile returns a spanning set of its links, never pairs.
     """
-    sizes = rest.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "root", "keys", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def tile(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("class").combine_chunks()
-        ids, root, own = (table[c].to_numpy() for c in ("class", "root", "own"))
-        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        side = (own == key[1].as_py()) * 1 | (own == key[2].as_py()) * 2
-        before = np.unique(root, return_inverse=True)[1]
-        group = links_of(text_bytes(table["text"].combine_chunks()), keys, side, root, threshold)
-        # A link from the first member of each earlier group to the first of what it has joined.
-        first = {int(g): int(i) for i, g in reversed(list(zip(ids, group, strict=True)))}
-        start = {int(g): (int(i), int(first[int(n)])) for i, g, n in reversed(list(zip(ids, before, group, strict=True)))}
-        found = [(i, j) for i, j in start.values() if i != j]
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return tiles.groupBy("cluster", "x", "y").applyInArrow(tile, "a long, b long")
-
-
-def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, class, root: the class of equal word sequences of each row, and the group of linked classes.
-
-    First each bucket's members are compared with one of them, which joins most of
-    what belongs together; then, in buckets where several groups are left, members
-    of different groups are compared tile by tile.  No link between different
-    groups is lost that the bands found.
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        key, x, y, own, ids = (table.column(c).to_numpy() for c in ("key", "x", "y", "own", "class"))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bags = Bags(text_bytes(table.column(TEXT).combine_chunks()))
+        edge = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]), len(ids)]
+        found = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            band = int(np.argmax(keys[a] == key[a]))
+            group = links_of(bags, keys[a:b], band, np.arange(a, b), own[a:b] == x[a], own[a:b] == y[a], threshold)
+            linked = np.flatnonzero(group != np.arange(b - a))
+            found.append((ids[a:b][group[linked]], ids[a:b][linked]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], schema=schema)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, size = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, x, y = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "x", "y"))
+            length = batch.column(batch.schema.get_field_index("size")).to_numpy()
+            start = 0
+            for i in range(batch.num_rows):
+                tile = key[i], x[i], y[i]
+                if size > TILE_BYTES and tile != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield settle(pa.Table.from_batches(held))
+                    held, size, start = [], 0, i
+                last = tile
+                size += int(length[i])
+            held.append(batch.slice(start))
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "class")
+    return run(dealt, kernel, "a long, b long")
+
+
+def classes_and_links(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and the classes of equal word sequences with their groups.
+
+    rows: row, doc_id, text.  The classes: d1, d2, class (its first row), class_id
+    (its smallest doc_id), best (its first row by doc_id) and root, the class that
+    names its group.  Classes that share a band meet in that band's bucket; a
+    bucket is cut into blocks by rows and bytes, and each pair of blocks is a tile.
     """
     found = stored(sketches(rows, threshold))
-    worded = found.where("d1 is not null")
-    classes = worded.groupBy("d1", "d2").agg(F.min(F.struct(ROW, "keys")).alias("one"))
-    classes = stored(classes.select("d1", "d2", F.col(f"one.{ROW}").alias("class"), "one.keys"))
-    bucketed = classes.select(F.explode("keys").alias("key"), "class")
-    leaders = bucketed.groupBy("key").agg(F.count("*").alias("many"), F.min("class").alias("leader")).where("many > 1").select("key", "leader")
-    shared = stored(bucketed.join(leaders, "key"))
-    pairs = stored(shared.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct())
-    links = stored(verified(pairs, rows, threshold))
-    roots = connected(links)
-    with_root = shared.join(roots, shared["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    split = with_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    # Members of such buckets, in clusters that no shared bucket crosses, with their texts.
-    open_ = stored(with_root.join(split, "key"))
-    heads = open_.groupBy("key").agg(F.min("class").alias("head"))
-    clusters = connected(open_.join(heads, "key").select(F.col("head").alias("a"), F.col("class").alias("b")))
-    clusters = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster"))
-    members = open_.select("class", "root").distinct().join(clusters, "class")
-    rest = members.join(classes.select("class", "keys"), "class").join(rows.select(F.col(ROW).alias("class"), F.col(TEXT).alias("text")), "class")
-    extra = stored(tiled(rest, threshold))
-    roots = connected(links.unionByName(extra))
-    of_class = classes.select("d1", "d2", "class").join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "class", F.coalesce("root", "class").alias("root"))
-    return found.select(ROW, "d1", "d2").join(of_class, ["d1", "d2"], "left").select(ROW, F.coalesce("class", ROW).alias("class"), F.coalesce("root", ROW).alias("root"))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))
+    classes = found.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct(ROW, "size", "keys")).alias("one"), F.min("doc_id").alias("class_id"), F.min(best).alias("best"))
+    classes = stored(classes.select("d1", "d2", F.col(f"one.{ROW}").alias("class"), "one.size", "one.keys", "class_id", "best"))
+    bucketed = classes.select(F.explode("keys").alias("key"), "class", "size")
+    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_BYTES)).cast("int")
+    shared = bucketed.groupBy("key").agg(F.count("*").alias("many"), blocks.alias("blocks")).where("many > 1").select("key", "blocks")
+    dealt = bucketed.select("key", "class").join(shared, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.greatest("blocks", F.lit(1))).cast("int"))
+    texts = rows.select(F.col(ROW).alias("class"), TEXT)
+    members = dealt.join(classes.select("class", "size", "keys"), "class").join(texts, "class")
+    members = members.select("*", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
+    members = members.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "size", "keys", TEXT)
+    roots = connected(compared(members, threshold))
+    with_root = classes.drop("size", "keys").join(roots, classes["class"] == roots["node"], "left").drop("node")
+    return found.select(ROW, "doc_id", "d1", "d2"), stored(with_root.withColumn("root", F.coalesce("root", "class")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, group_id, kept: one row per document.
 
-    Documents with the same words are one class; classes whose shingles have a
-    probability Jaccard similarity of ``threshold`` or more are linked, and linked
-    classes make a group.  Ids of classes and groups are the smallest doc_id of
-    their members; ``kept`` is true for one document of each group, its first row.
-    Null texts and texts without words belong to no group but their own; repeated
-    rows are members of one class; null ids sort last.  Other columns are left
-    out.  The input should be a stored table, since its rows are read again.
+    Documents with the same words are one class; classes that share a band and whose
+    shingles have a probability Jaccard similarity of ``threshold`` or more (to within
+    1e-9) are linked, and linked classes make a group.  Ids of classes and groups
+    are the smallest doc_id of their members; ``kept`` is true for one document of
+    each group, its first by doc_id and then by row.  Null and empty texts and texts without words belong to
+    no group but their own; an empty table gives no rows; repeated rows are members of one
+    class; null ids sort last.  Long texts are taken whole.  Other columns are left out,
+    whatever their names.  The input should be a stored table, since its rows are
+    read again.
     """
     rows = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(TEXT))
-    of = stored(groups(rows, threshold))
-    member = rows.select(ROW, "doc_id").join(of, ROW)
-    class_ids = member.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("root").alias("root"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("best"))
-    group_ids = class_ids.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("best").alias("best"))
-    joined = member.join(class_ids.select("class", "class_id"), "class").join(group_ids, "root")
-    return joined.select("doc_id", "class_id", "group_id", (F.col(ROW) == F.col("best.row")).alias("kept"))
+    found, classes = classes_and_links(rows, threshold)
+    groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("best").alias("best"))
+    named = classes.join(groups.withColumnRenamed("best", "first"), "root").select("d1", "d2", "class_id", "group_id", F.col("first.row").alias("first"))
+    joined = found.where("d1 is not null").join(named, ["d1", "d2"]).select("doc_id", "class_id", "group_id", (F.col(ROW) == F.col("first")).alias("kept"))
+    return joined.unionByName(found.where("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept")))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that ``near_duplicates`` keeps, all columns as they are."""
-    numbered = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.struct(*df.columns).alias("__all"))
-    rows = numbered.select(ROW, F.col(f"__all.{id_col}").cast("long").alias("doc_id"), F.col(f"__all.{text_col}").cast("string").alias(TEXT))
-    of = stored(groups(rows, threshold))
-    best = rows.select(ROW, "doc_id").join(of, ROW).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("best")).select(F.col("best.row").alias(ROW))
-    return numbered.join(best, ROW).select("__all.*")
+    """The rows of ``df`` that ``near_duplicates`` keeps, all columns as they are.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as there.  Columns may
+    have any names.
+    """
+    numbered = steady(df).select(F.monotonically_increasing_id().alias(ROW), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__all"))
+    rows = numbered.select(ROW, F.col(f"__all.`{id_col}`").cast("long").alias("doc_id"), F.col(f"__all.`{text_col}`").cast("string").alias(TEXT))
+    found, classes = classes_and_links(rows, threshold)
+    first = classes.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW))
+    first = first.unionByName(found.where("d1 is null").select(ROW))
+    return numbered.join(first, ROW, "left_semi").select("__all.*")
