@@ -15,7 +15,7 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,10 +31,44 @@ GROUP = 64
 
 #: Chunks whose letters have the same lower case one by one as together; others go to the library whole.
 SIMPLE = re.compile("[!-~\xa1-\u024f]*").fullmatch
+#: The vocabulary's splitter (a fixed value of its file) where only lower-case ASCII is met, and the line breaks that part chunks.
+ASCII_SPLIT = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+").findall
+#: Parts the ids of chunks: no four bytes in a row of small ids read like that.
+APART = b"\xff" * 4
+#: Chunks and words that a generation remembers, and the characters up to which they are: an entry takes about 180 bytes and never over 2 KB.
+CHUNKS, WORDS, LONG = 200_000, 100_000, 64
 
 Piece = tuple[int, int, bytes, int]  # document, start, ids, tokens of the document
 
 
+class Remembered:
+    """Ids of short texts, in two generations of at most ``most`` entries or what one call takes."""
+
+    def __init__(self, most: int, learn: Callable[[list[str]], Iterable[bytes]]):
+        self.most, self.learn = most, learn
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of texts, end to end."""
+        need = set()
+        for p in parts:
+            need.update(p)
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = need - known.keys()
+        if again := new & old.keys():
+            new -= again
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+        learnt = list(new)
+        known.update(zip(learnt, self.learn(learnt), strict=True))
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for c in [c for c in learnt if len(c) > LONG]:
+            del known[c]
+        return out
+
+
 class WordIds:
     """Ids of whole texts by the tokenizers library, remembered by space-separated chunk.
 
@@ -42,7 +76,7 @@ class WordIds:
     chunks are encoded apart, by the library's model word by word.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, chunks: int = CHUNKS, words: int = WORDS):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,45 +90,55 @@ class WordIds:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(f"\n|{pattern}").findall
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.remember, self.known, self.old, self.of_word = remember, {}, {}, {}
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one normalised word by the library's model."""
-        if not word.isascii():
-            word = "".join([self.letters[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.lib.model.tokenize(word)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not SIMPLE(chunk) or any(s in chunk for s in self.special):
-            return b"".join([i.to_bytes(4, "little") for i in self.lib.encode(chunk, add_special_tokens=False).ids])
-        out = []
-        for w in self.split(unicodedata.normalize("NFC", chunk).lower()):
-            if (ids := self.of_word.get(w)) is None:
-                ids = self.of_word[w] = self._word(w)
-            out.append(ids)
-        return b"".join(out)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
+        if any(APART in a + b for a in (self.raw[-1], self.raw[0]) for b in (self.raw[-1], self.raw[0])) or len(self.raw) > 0xFF00:
+            raise ValueError("the vocabulary is too large for this encoder")
+        self.tokens = self.lib.model.tokenize
+        self.chunks, self.words = Remembered(chunks, self._chunks), Remembered(words, self._words)
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of normalised words by the library's model."""
+        raw, tokens, letters = self.raw, self.tokens, self.letters
+        for w in words:
+            if w == "\n":
+                yield APART
+                continue
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(letters)
+            yield b"".join([raw[t.id] for t in tokens(w)])
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, by way of its words; all chunks of a kind are split at once."""
+        special = [s for s in self.special if s in "\n".join(chunks)]
+        out: list[bytes] = [b""] * len(chunks)
+        plain: list[int] = []
+        simple: list[int] = []
+        for k, c in enumerate(chunks):
+            if c.isascii() and c.isprintable() and not special:
+                plain.append(k)
+            elif SIMPLE(c) and not any(s in c for s in special):
+                simple.append(k)
+            else:
+                out[k] = b"".join([self.raw[i] for i in self.lib.encode(c, add_special_tokens=False).ids])
+        for kind, split in ((plain, ASCII_SPLIT), (simple, self.split)):
+            if kind:
+                joined = unicodedata.normalize("NFC", "\n".join([chunks[k] for k in kind])).lower()
+                ids = self.words.of([split(joined)])[0].split(APART)
+                for k, i in zip(kind, ids, strict=True):
+                    out[k] = i
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
-        cut, need = [], set()
+        cut = []
         for t in texts:
             for c in "\t\n\v\f\r":
                 if c in t:
                     t = t.replace(c, " ")
             cut.append(t.split(" "))
-            need.update(cut[-1])
-        new = need - self.known.keys()
-        if len(self.known) + len(new) > self.remember:
-            self.old, self.known = self.known, {}
-            new = need
-        if len(self.of_word) > self.remember:
-            self.of_word.clear()
-        again = new & self.old.keys()
-        self.known.update((c, self.old[c]) for c in again)
-        self.known.update((c, self._chunk(c)) for c in new - again)
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        return self.chunks.of(cut)
 
 
 @functools.lru_cache(maxsize=1)
