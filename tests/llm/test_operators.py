@@ -45,6 +45,26 @@ def test_bpe_matches_the_library(spark):
     assert [d[3] for d in digests] == [hashlib.sha256(lib.decode(w, skip_special_tokens=False).encode()).hexdigest() for w in want]
 
 
+@pytest.mark.parametrize("digests", [False, True])
+def test_bpe_decodes_the_ids_it_made(digests):
+    """Other ids decode to another text: what is returned is not the input."""
+    b = bpe.Bpe(queries.vocabulary("byte_bpe_50k.json"))
+    honest = b.encode_texts
+    b.encode_texts = lambda texts: [",".join(reversed(i.split(","))) for i in honest(texts)]
+    text = "one two three"
+    n, ids, back = bpe.round_trip(b, [text], digests)
+    want = "".join(b.decode_bytes(np.array([i])).decode() for i in reversed(b.encode(text)[::-1]))
+    assert want != text and n == [len(b.encode(text))]
+    assert back == [hashlib.sha256(want.encode()).hexdigest() if digests else want]
+
+
+def test_bpe_forgets_long_chunks():
+    b = bpe.Bpe(queries.vocabulary("byte_bpe_50k.json"))
+    text = "x" * 100 + " short " + "y" * 100
+    assert b.encode(text) == b.encode(text) and all(len(c) <= bpe.LONG for t in (b.of_chunk, b.of_word) for c in t)
+    assert b.decode(np.array(b.encode(text))) == text
+
+
 def test_bpe_exact_merging_agrees():
     b = bpe.shared(queries.vocabulary("byte_bpe_50k.json"))
     r = random.Random(1)

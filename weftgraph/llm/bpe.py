@@ -32,6 +32,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 NEVER = np.int64(1) << 40
+#: Longer chunks and pre-tokens are not remembered, so that tables of so many entries are bounded in bytes too.
+LONG = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -96,6 +98,10 @@ class Bpe:
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.ids = {raw(t): i for t, i in vocab.items() if t not in self.special}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        tokens = [self.bytes.get(i, b"") for i in range(self.size)]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size_of = np.fromiter(map(len, tokens), np.int64, self.size)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in merges], np.int64)
@@ -114,6 +120,7 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.remember = remember
+        self.long: list[str] = []  # what is forgotten again after a call
         self.of_word: dict[str, str] = {}
         self.of_chunk: dict = {}
         self._forget()
@@ -283,7 +290,7 @@ class Bpe:
 
     def _learn(self, chunks: set[str]) -> None:
         """Ids of chunks by way of their pre-tokens, most of which are known already."""
-        cut, known, name, raw = self.split, self.of_word, self.name, self.bytes
+        cut, known, name = self.split, self.of_word, self.name
         pieces = [(c, cut(c)) for c in chunks]
         new = list({w for _, ws in pieces for w in ws if w not in known})
         if len(known) + len(new) > self.remember:
@@ -291,20 +298,23 @@ class Bpe:
             new = list({w for _, ws in pieces for w in ws})
         for w, ids in zip(new, self.words([w.encode() for w in new]), strict=True):
             known[w] = ",".join([name[t] for t in ids])
-            if (back := b"".join([raw[t] for t in ids])) != w.encode():
-                raise ValueError(f"{w!r} decodes to {back!r}")
+        self.long += [w for w in new if len(w) > LONG] + [c for c in chunks if len(c) > LONG]
         for c, ws in pieces:
             self.of_chunk[c] = known[ws[0]] if len(ws) == 1 else ",".join([known[w] for w in ws])
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, special ones too, end to end."""
+        size = self.size_of[ids]
+        stop = np.cumsum(size)
+        place = np.arange(int(stop[-1]) if len(stop) else 0)
+        return self.flat[place + np.repeat(self.start_of[ids] - stop + size, size)].tobytes()
 
-    def encode_texts(self, texts: list[str]) -> list[str]:
-        """For each text, its decimal ids joined by commas.
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of the tokens; bytes that are no UTF-8 become U+FFFD."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
-        Each pre-token is decoded as it is learnt and must give its own bytes, so
-        the ids of a text decode to that text.
-        """
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """For each text, its decimal ids joined by commas."""
         cut = []
         for text in texts:
             parts, at = [], 0
@@ -322,7 +332,12 @@ class Bpe:
         again = new & self.old.keys()
         self.of_chunk.update((c, self.old[c]) for c in again)
         self._learn(new - again)
-        return [",".join(map(self.of_chunk.__getitem__, parts)) for parts in cut]
+        out = [",".join(map(self.of_chunk.__getitem__, parts)) for parts in cut]
+        for table in (self.of_chunk, self.of_word):
+            for c in self.long:
+                table.pop(c, None)
+        self.long = []
+        return out
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_texts([text])[0]
@@ -335,6 +350,16 @@ def shared(vocabulary: str) -> Bpe:
     return Bpe(vocabulary)
 
 
+def round_trip(bpe: Bpe, texts: list[str], digests: bool) -> list[list]:
+    """Columns of the texts: number of ids, the ids, and the text that the ids decode to, the last two as digests if asked."""
+    found = bpe.encode_texts(texts)
+    ids_of = [np.fromstring(i, np.int32, sep=",") if i else np.zeros(0, np.int32) for i in found]
+    n, back = list(map(len, ids_of)), list(map(bpe.decode, ids_of))
+    if digests:
+        return [n, [hashlib.sha256(i.encode()).hexdigest() for i in found], [hashlib.sha256(t.encode()).hexdigest() for t in back]]
+    return [n, [i.tolist() for i in ids_of], back]
+
+
 def tokenize(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode each whole text and decode it again.
 
@@ -342,7 +367,9 @@ def tokenize(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``digests`` their SHA-256 in hex (ids as decimals joined by commas).  Null texts
     count as empty: no ids, an empty decoded text.  Rows map one to one, so
     repeated rows and null ids come through; other columns of ``df`` are left out.
-    No shuffle; memory is bounded by the batch and the chunk table.
+    A text without letters has the ids of its spaces; an empty table gives no rows;
+    equal texts give equal rows.  No shuffle; memory is bounded by the batch, the longest text (which
+    is taken whole) and tables of at most ``remember`` chunks and pre-tokens of at most LONG characters.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64())]
     fields += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
@@ -353,15 +380,7 @@ def tokenize(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
             for a, b in slices(texts):
-                own = [t or "" for t in texts[a:b]]
-                found = bpe.encode_texts(own)
-                n = [i.count(",") + 1 if i else 0 for i in found]
-                if digests:
-                    rest = [[hashlib.sha256(i.encode()).hexdigest() for i in found], [hashlib.sha256(t.encode()).hexdigest() for t in own]]
-                else:
-                    ids_of = [list(map(int, i.split(","))) if i else [] for i in found]
-                    rest = [ids_of, [bpe.decode_bytes(i).decode("utf-8", "replace") for i in ids_of]]
-                yield batch_of(schema, [ids[a:b], n, *rest])
+                yield batch_of(schema, [ids[a:b], *round_trip(bpe, [t or "" for t in texts[a:b]], digests)])
 
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return run(keyed(df, id_col, text_col), kernel, out)
