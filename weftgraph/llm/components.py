@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that ``written`` has made, for ``forget``.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where it names none."""
+    """The checkpoint folder that the cluster names.
+
+    Only a local master gets a folder of our own where none is named: on a cluster
+    each executor would write to its own disk.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """``df``, with the number of splits of file scans held for the session.
+    """``df`` such that row numbers by place are the same in each evaluation.
 
-    Row numbers by place are used in several jobs.  Spark derives splits from the
-    cores at hand, which change when executors are lost; the number that holds now
-    is kept, unless the session names one.
+    What is more than a scan, selection and filter of files is stored first.  Spark
+    derives a scan's splits from the cores at hand, which change when executors are
+    lost; the session keeps the number that holds now, unless it names one.
     """
     spark, key = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if not _plain_scan(df._jdf.queryExecution().optimizedPlan()):
+        return stored(df)
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
     return df
 
 
+def _plain_scan(plan) -> bool:
+    """Whether the plan only reads, filters and selects from files or held rows."""
+    children = plan.children()
+    if not children.size():
+        return plan.nodeName().split()[0] in ("LogicalRelation", "Relation", "LocalRelation", "DataSourceV2ScanRelation")
+    return plan.nodeName() in ("Project", "Filter") and plan.deterministic() and all(_plain_scan(children.apply(k)) for k in range(children.size()))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share."""
     shared_folder(df.sparkSession)
@@ -40,9 +63,26 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: smaller than a checkpoint, and read again by columns."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by way of Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def forget(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are written inside, once what follows from them is stored."""
+    first = len(_made)
+    yield
+    while len(_made) > first:
+        remove(spark, _made.pop())
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node that links reach, for each node with links.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _rolling
@@ -21,10 +21,8 @@ from ._arrow import keyed, run, slices
 from .repeats import text_bytes
 
 PASSAGE_WORDS = 32
-#: The model learns from this many labelled documents of each class at most.
-SAMPLE_PER_CLASS = 1200
-#: Passages of one document that the fit looks at, evenly spread; scoring takes all.
-SAMPLE_PASSAGES = 64
+#: The model learns from this many labelled documents of each class at most, and from so many bytes of them; documents are taken whole.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1200, 24 << 20
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 24, 16, 400, 0.01, 1e-3, 5
 
 #: Byte classes: each ASCII sign by itself, letters, digits, white space and others together.
@@ -73,6 +71,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         head = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (h[1:] != h[:-1])])
         times = np.diff(np.r_[head, len(p)])
         distinct = np.bincount(p[head], minlength=n) / words
+        distinct[distinct == 0] = 1  # a blank passage, whatever stands beside it
         most = np.zeros(n)
         np.maximum.at(most, p[head], times)
         twice = np.r_[False, (hashed[1:] == hashed[:-1]) & (word_piece[1:] == word_piece[:-1])]
@@ -103,12 +102,11 @@ class Model:
     def bags(self, x: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
         h = self.encode(x)
         t, g, logit = self.attend(h)
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, doc, logit)
+        first = np.searchsorted(doc, np.arange(n))  # passages stand in the order of their texts, and each text has one
+        top = np.maximum.reduceat(logit, first)
         raised = np.exp(logit - top[doc])
-        share = raised / np.bincount(doc, raised, n)[doc]
-        z = np.zeros((n, h.shape[1]))
-        np.add.at(z, doc, share[:, None] * h)
+        share = raised / np.add.reduceat(raised, first)[doc]
+        z = np.add.reduceat(share[:, None] * h, first, axis=0)
         score = 1 / (1 + np.exp(-(z @ self.weights["s"] + self.weights["b"][0])))
         return h, t, g, share, z, score
 
@@ -117,6 +115,22 @@ class Model:
         return self.bags(x, doc, len(texts))[-1]
 
 
+def gradient(model: Model, x: np.ndarray, doc: np.ndarray, label: np.ndarray, share_of: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the cross entropy, each document's divided by ``share_of``, in all weights."""
+    w, n = model.weights, len(label)
+    unit = np.clip((x - model.mean) / model.scale, -6, 6)
+    h, t, g, share, z, score = model.bags(x, doc, n)
+    d = (score - label) / share_of
+    dz = d[:, None] * w["s"]
+    dh = share[:, None] * dz[doc]
+    pull = (dz[doc] * h).sum(1)
+    dlogit = share * (pull - np.bincount(doc, share * pull, n)[doc])
+    dt, dg = dlogit[:, None] * w["a"] * g * (1 - t * t), dlogit[:, None] * w["a"] * t * g * (1 - g)
+    dh += dt @ w["T"].T + dg @ w["G"].T
+    dh *= 1 - h * h
+    return {"E": unit.T @ dh, "e": dh.sum(0), "T": h.T @ dt, "t": dt.sum(0), "G": h.T @ dg, "g": dg.sum(0), "a": (t * g).T @ dlogit, "s": z.T @ d, "b": np.array([d.sum()])}
+
+
 def train(x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
     """Fit by full-batch gradient steps with momentum and adaptive rates."""
     r = np.random.default_rng(SEED)
@@ -129,21 +143,11 @@ def train(x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
         w["s"][:], w["b"][:] = 0, 10
         return model
     n = len(label)
-    unit = np.clip((x - model.mean) / model.scale, -6, 6)
     # Each class weighs half, whatever its share of the sample.
     share_of = np.bincount(label, minlength=2)[label] * max(1, len(set(label.tolist())))
     m, v = {k: np.zeros_like(p) for k, p in w.items()}, {k: np.zeros_like(p) for k, p in w.items()}
     for step in range(1, STEPS + 1):
-        h, t, g, share, z, score = model.bags(x, doc, n)
-        d = (score - label) / share_of
-        dz = d[:, None] * w["s"]
-        dh = share[:, None] * dz[doc]
-        pull = (dz[doc] * h).sum(1)
-        dlogit = share * (pull - np.bincount(doc, share * pull, n)[doc])
-        dt, dg = dlogit[:, None] * w["a"] * g * (1 - t * t), dlogit[:, None] * w["a"] * t * g * (1 - g)
-        dh += dt @ w["T"].T + dg @ w["G"].T
-        dh *= 1 - h * h
-        grad = {"E": unit.T @ dh, "e": dh.sum(0), "T": h.T @ dt, "t": dt.sum(0), "G": h.T @ dg, "g": dg.sum(0), "a": (t * g).T @ dlogit, "s": z.T @ d, "b": np.array([d.sum()])}
+        grad = gradient(model, x, doc, label, share_of)
         for k, p in w.items():
             grad[k] = grad[k] + DECAY * p / n if p.ndim == 2 else grad[k]
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -157,12 +161,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Learn from up to ``per_class`` labelled documents of each class that are not held out.
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from up to ``per_class`` labelled documents of each class that are not held out, with all their passages.
 
-    The sample is the ids of least hash, so it doesn't depend on the order of rows.
-    Labels other than 0 and 1, null ids and null texts are passed over; of several
-    labels for an id the least counts.
+    The sample is the ids of least hash, as far as their texts have ``most_bytes`` in
+    all, so it doesn't depend on the order of rows.  Labels other than 0 and 1, null ids and null texts are
+    passed over; of several labels or texts for an id the least counts.  Without
+    labels or documents every text scores near 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id")))
@@ -171,7 +176,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     # At most twice per_class ids and labels, whatever the corpus.
-    rows = keyed(documents, id_col, text_col).where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = keyed(documents, id_col, text_col).where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= most_bytes).drop("bytes")
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,19 +188,22 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             blobs = []
             for a, b in slices(texts):
                 x, doc = passages(texts[a:b])
-                for k in range(b - a):
-                    own = x[doc == k]
-                    blobs.append(own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_PASSAGES).astype(int))].tobytes())
+                edge = np.searchsorted(doc, np.arange(b - a + 1))
+                blobs += [x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), batch.column(at("label")), pa.array(blobs, pa.binary())], schema=schema)
 
-    found = sorted(map(tuple, run(rows, kernel, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).collect()))
+    found = sorted(map(tuple, run(rows, kernel, "doc_id long, label int, x binary").collect()))
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for *_, x in found]
     doc = np.repeat(np.arange(len(bags)), list(map(len, bags)))
     return train(np.concatenate(bags) if bags else np.zeros((0, FEATURES)), doc, np.array([y for _, y, _ in found], np.int64))
 
 
-def scorer(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with a column score; null texts score as empty ones."""
+def scorer(df: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``df`` with a column of scores, ``into``, which replaces one of that name.
+
+    Whole texts are scored, long ones too; null texts score as empty ones, equal
+    texts alike; an empty table gives no rows.
+    """
     import pandas as pd
 
     def scored(batches):
@@ -202,7 +212,7 @@ def scorer(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.Series(np.concatenate([model.score(texts[a:b]) for a, b in slices(texts)]) if texts else [], dtype="float64")
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn("score", F.pandas_udf(scored, "double")(F.col(text_col)))
+    return df.withColumn(into, F.pandas_udf(scored, "double")(F.col(text_col)))
 
 
 def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
