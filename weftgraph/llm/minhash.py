@@ -266,22 +266,25 @@ def classes_and_links(rows: DataFrame, threshold: float) -> tuple[DataFrame, Dat
 
     rows: row, doc_id, text.  The classes: d1, d2, class (its first row), class_id
     (its smallest doc_id), best (its first row by doc_id) and root, the class that
-    names its group.  Classes that share a band meet in that band's bucket; a
-    bucket is cut into blocks by rows and bytes, and each pair of blocks is a tile.
+    names its group.  Classes that share a band meet in that band's bucket, unless the
+    same classes meet in an earlier one; a bucket is cut into blocks by rows and bytes, and each pair of blocks is a tile.
     """
     found = stored(sketches(rows, threshold))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))
     classes = found.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct(ROW, "size", "keys")).alias("one"), F.min("doc_id").alias("class_id"), F.min(best).alias("best"))
     classes = stored(classes.select("d1", "d2", F.col(f"one.{ROW}").alias("class"), "one.size", "one.keys", "class_id", "best"))
-    bucketed = classes.select(F.explode("keys").alias("key"), "class", "size")
-    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_BYTES)).cast("int")
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("many"), blocks.alias("blocks")).where("many > 1").select("key", "blocks")
-    dealt = bucketed.select("key", "class").join(shared, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.greatest("blocks", F.lit(1))).cast("int"))
+    bucketed = classes.select(F.posexplode("keys").alias("band", "key"), "class", "size")
+    blocks = F.greatest(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_BYTES)), F.lit(1)).cast("int")
+    members = [F.count("*").alias("many"), F.min("class").alias("least"), F.max("class").alias("most"), *(F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"mark{k}") for k in (0, 1))]
+    shared = bucketed.groupBy("key").agg(*members, F.min("band").alias("band"), blocks.alias("blocks")).where("many > 1")
+    # Of buckets with the same members only the first band's would compare any pair.
+    shared = shared.groupBy("many", "least", "most", "mark0", "mark1").agg(F.min(F.struct("band", "key", "blocks")).alias("one")).select("one.key", "one.blocks")
+    dealt = bucketed.select("key", "class").join(shared, "key").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     texts = rows.select(F.col(ROW).alias("class"), TEXT)
-    members = dealt.join(classes.select("class", "size", "keys"), "class").join(texts, "class")
-    members = members.select("*", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
-    members = members.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "size", "keys", TEXT)
-    roots = connected(compared(members, threshold))
+    placed = dealt.join(classes.select("class", "size", "keys"), "class").join(texts, "class")
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "size", "keys", TEXT)
+    roots = connected(compared(placed, threshold))
     with_root = classes.drop("size", "keys").join(roots, classes["class"] == roots["node"], "left").drop("node")
     return found.select(ROW, "doc_id", "d1", "d2"), stored(with_root.withColumn("root", F.coalesce("root", "class")))
 
