@@ -82,3 +82,57 @@ def test_event_stream_is_committed_once(spark, tmp_path):
     for _ in range(2):
         events.append(source, s, str(tmp_path / "state")).awaitTermination()
     assert s.last() == 1 and rows(s.graph(), "MATCH (:User)-[:DID]->(e:Event) RETURN count(e) AS n") == [(50,)]
+
+
+def _nodes(spark, *names, deleted=False):
+    return spark.createDataFrame([(n, ["N"], "", deleted) for n in names], "id string, labels array<string>, body string, deleted boolean")
+
+
+def _edges(spark, *rows):
+    return spark.createDataFrame([(f"{a}-{b}", a, t, b, p, False) for a, t, b, p in rows], "id string, from_id string, type string, to_id string, position long, deleted boolean")
+
+
+def test_interrupted_commit_is_never_read(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "g"))
+    s.commit(_nodes(spark, "one"), _edges(spark))
+
+    def fail(*_):
+        raise OSError("the power went")
+
+    monkeypatch.setattr("weftgraph.sources.store.time.time_ns", fail)
+    with pytest.raises(OSError):
+        s.commit(_nodes(spark, "ghost"), _edges(spark))
+    monkeypatch.undo()
+    s.commit(_nodes(spark, "two"), _edges(spark))
+    assert s.last() == 2 and sorted(r.id for r in s.at("nodes", 2).collect()) == ["one", "two"]
+    assert s.problems().collect() == []
+
+
+def test_store_holds_its_rules(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "g"))
+    s.commit(_nodes(spark, "a", "b", "c"), _edges(spark, ("a", "CHILD", "b", 0)))
+    none = _nodes(spark)
+    bad = [(none, _edges(spark, ("a", "R", "x", None))), (none, _edges(spark, ("a", "R", "b", 1))), (none, _edges(spark, ("c", "CHILD", "b", 0))), (_nodes(spark, "b", deleted=True), _edges(spark)), (_nodes(spark, "d", "d"), _edges(spark))]
+    for nodes, edges in bad:
+        with pytest.raises(CypherError):
+            s.commit(nodes, edges)
+    assert s.last() == 1
+    s.commit(_nodes(spark, "d"), _edges(spark, ("d", "R", "a", None)))
+    assert s.status() == {"revision": 2, "nodes": 4, "edges": 2}
+
+
+def test_two_streams_feed_one_store(spark, tmp_path):
+    from weftgraph.streaming import events
+
+    s = Store(spark, str(tmp_path / "g"))
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    for name, first, n in (("x", 0, 5), ("y", 100, 7)):
+        rows = spark.range(first, first + n).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 2 AS user_id", "'t' AS event_type")
+        rows.write.parquet(str(tmp_path / name))
+        for _ in range(2):  # a second start finds nothing new
+            events.append(events.read(spark, str(tmp_path / name), schema), s, str(tmp_path / f"check-{name}")).awaitTermination()
+    assert rows_of(s) == 12 and s.last() == 2
+
+
+def rows_of(s):
+    return rows(s.graph(), "MATCH (e:Event) RETURN count(*) AS n")[0][0]

@@ -1,7 +1,8 @@
 """Versioned graphs on shared storage.
 
-A commit appends the changed nodes and relationships of one revision, then the
-revision itself; what has no revision row was never committed and is not read.  The
+A commit writes the changed nodes and relationships of one revision into folders of
+its own, then the revision, which names them; what no revision names was never
+committed and is not read, whatever number it carries.  The
 graph at a revision is, per id, the last change up to it, unless that is a deletion.
 Nothing is rewritten, so a commit costs what it changes.
 """
@@ -9,6 +10,7 @@ Nothing is rewritten, so a commit costs what it changes.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +22,9 @@ from .graph import Graph, c, from_rows
 
 NODE_FIXED = {"id": T.StringType(), "labels": T.ArrayType(T.StringType()), "body": T.StringType()}
 EDGE_FIXED = {"id": T.StringType(), "from_id": T.StringType(), "type": T.StringType(), "to_id": T.StringType(), "position": T.LongType()}
+REVISION = "revision long, committed_ns long, actor string, message string, folder string"
+#: Partition column of a commit's folder; its values read as text.
+FOLDER = "__commit"
 LOG = {"revision": T.LongType(), "deleted": T.BooleanType()}
 
 
@@ -43,10 +48,10 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def revisions(self) -> DataFrame:
-        """revision, time, committed_ns, actor, message."""
+        """revision, time, committed_ns, actor, message, folder."""
         path = f"{self.folder}/revisions"
         if not self._exists(path):
-            return self.spark.createDataFrame([], "revision long, committed_ns long, actor string, message string").withColumn("time", F.timestamp_micros(F.lit(0)))
+            return self.spark.createDataFrame([], REVISION).withColumn("time", F.timestamp_micros(F.lit(0)))
         df = self.spark.read.parquet(path)
         return df.withColumn("time", F.timestamp_micros(F.floor(F.col("committed_ns") / 1000)))
 
@@ -72,7 +77,8 @@ class Store:
         if not self._exists(path):
             return empty(self.spark, fixed)
         df = self.spark.read.option("mergeSchema", "true").parquet(path)
-        return df.where(F.col("revision") <= self.last())
+        named = self.revisions().select("revision", F.col("folder").alias(FOLDER))
+        return df.join(named, ["revision", FOLDER], "left_semi").select(*[c(x) for x in df.columns if x != FOLDER])
 
     def at(self, kind: str, revision: int) -> DataFrame:
         log = self.log(kind).where(F.col("revision") <= revision)
@@ -95,11 +101,61 @@ class Store:
         return {"revision": self.last(), "nodes": g.nodes[0].df.count(), "edges": g.edges[0].df.count()}
 
     def commit(self, nodes: DataFrame, edges: DataFrame, actor: str = "", message: str = "") -> int:
-        """Append changes (with a column deleted) as the next revision; returns it."""
+        """Append changes (with a column deleted) as the next revision; returns it.
+
+        A failure at any point leaves the store as it was: the revision's row comes
+        last and names the folder, so what a failed commit has left is never read.
+        """
         revision = self.last() + 1
         latest = self.revisions().agg(F.max("committed_ns")).first()[0] or 0
+        folder = f"c{uuid.uuid4().hex}"
+        self.verify(nodes, edges)
         for kind, df in (("nodes", nodes), ("edges", edges)):
-            df.withColumn("revision", F.lit(revision).cast("long")).write.mode("append").parquet(f"{self.folder}/{kind}")
-        row = [(revision, max(time.time_ns(), latest + 1), actor, message)]
-        self.spark.createDataFrame(row, "revision long, committed_ns long, actor string, message string").coalesce(1).write.mode("append").parquet(f"{self.folder}/revisions")
+            df.withColumn("revision", F.lit(revision).cast("long")).write.parquet(f"{self.folder}/{kind}/{FOLDER}={folder}")
+        row = [(revision, max(time.time_ns(), latest + 1), actor, message, folder)]
+        self.spark.createDataFrame(row, REVISION).coalesce(1).write.mode("append").parquet(f"{self.folder}/revisions")
         return revision
+
+    def verify(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """What must hold of changes before they are stored; only what they touch is looked at."""
+        for kind, df in (("node", nodes), ("relationship", edges)):
+            if not df.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty():
+                raise CypherError(f"a {kind} is changed twice in one commit")
+        live, gone = edges.where("NOT deleted"), nodes.where("deleted").select("id")
+        if not live.where("position IS NOT NULL AND type <> 'CHILD'").isEmpty():
+            raise CypherError("only CHILD has a position")
+        ends = live.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+        open_ = ends.join(nodes.where("NOT deleted").select("id"), "id", "left_anti")
+        if not open_.isEmpty():
+            known = self.at("nodes", self.last()).select("id").join(gone, "id", "left_anti")
+            if not open_.join(known, "id", "left_anti").isEmpty():
+                raise CypherError("a relationship's end does not exist")
+        child = live.where("type = 'CHILD'")
+        if gone.isEmpty() and child.isEmpty():
+            return
+        kept = self.at("edges", self.last()).select("id", "from_id", "type", "to_id").join(edges.select("id"), "id", "left_anti")
+        for end in ("from_id", "to_id"):
+            if not kept.join(gone.select(F.col("id").alias(end)), end, "left_semi").isEmpty():
+                raise CypherError("a deleted node has relationships")
+        tree = kept.where("type = 'CHILD'").select("from_id", "to_id").unionByName(child.select("from_id", "to_id"))
+        if not tree.join(child.select("to_id").distinct(), "to_id", "left_semi").groupBy("to_id").count().where("count > 1").isEmpty():
+            raise CypherError("a node has more than one parent")
+
+    def problems(self) -> DataFrame:
+        """what, id: whatever the stored history holds that no commit should have let in."""
+        nodes, edges = self.at("nodes", self.last()), self.at("edges", self.last())
+        found = [
+            self.log(kind).groupBy("revision", "id").count().where("count > 1").select(F.lit(f"{kind}: changed twice in a revision").alias("what"), "id") for kind in ("nodes", "edges")
+        ]
+        ends = edges.select("id", F.explode(F.array("from_id", "to_id")).alias("end"))
+        found.append(ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti").select(F.lit("edges: an end does not exist").alias("what"), "id").distinct())
+        found.append(edges.where("position IS NOT NULL AND type <> 'CHILD'").select(F.lit("edges: a position outside CHILD").alias("what"), "id"))
+        found.append(edges.where("type = 'CHILD'").groupBy("to_id").count().where("count > 1").select(F.lit("nodes: more than one parent").alias("what"), F.col("to_id").alias("id")))
+        numbers = self.revisions().select(F.col("revision").cast("string").alias("id"), "revision", "committed_ns")
+        before = numbers.select((F.col("revision") + 1).alias("revision"), F.col("committed_ns").alias("earlier"))
+        order = numbers.join(before, "revision", "left").where("revision > 1 AND (earlier IS NULL OR earlier >= committed_ns)")
+        found.append(order.select(F.lit("revisions: a gap or a step back in time").alias("what"), "id"))
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out

@@ -22,12 +22,13 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
 def append(events: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of events (event_id, ts, user_id, event_type) as one revision: users, events and DID.
 
-    A batch that is run again after a failure is recognised by its number in the
-    revision's message and not committed twice.
+    A batch that is run again after a failure is recognised by its stream and number in
+    the revision's message and not committed twice.  A stream is known by its
+    checkpoint folder, which no two streams share, so several may feed one store in turn.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        message = f"stream batch {number}"
+        message = f"stream {checkpoint} batch {number}"
         if not store.revisions().where(F.col("message") == message).isEmpty():
             return
         batch = batch.dropDuplicates(["event_id"])
