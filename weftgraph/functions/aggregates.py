@@ -9,7 +9,8 @@ from ..plans.errors import CypherError, CypherTypeError
 from .values import Val, sort_key
 
 
-def build(call, args: list[Val], compiler) -> Column:
+def build(call, args: list[Val], compiler, order: list[tuple[Column, bool]] = ()) -> Column:
+    """An aggregate's column; ``order`` has the keys, and whether they fall, by which the rows came in."""
     name = call.name
     if call.star:
         return F.count(F.lit(1))
@@ -17,6 +18,9 @@ def build(call, args: list[Val], compiler) -> Column:
     if name == "count":
         return F.count_distinct(v.col) if call.distinct else F.count(v.col)
     if name == "collect":
+        if order:
+            values = collected_in_order(v.col, order)
+            return F.array_distinct(values) if call.distinct else values
         return F.collect_set(v.col) if call.distinct else F.collect_list(v.col)
     if name in ("sum", "avg", "stdev", "stdevp", "percentilecont", "percentiledisc"):
         if v.kind not in ("integer", "float", "null"):
@@ -55,6 +59,21 @@ def build(call, args: list[Val], compiler) -> Column:
     return F.try_element_at(ordered, (F.ceil(F.lit(float(p)) * (F.count(x) - 1)) + 1).cast("int"))
 
 
+def collected_in_order(value: Column, order: list[tuple[Column, bool]]) -> Column:
+    """The values of a group, not null, by their keys: nulls last, or first where a key falls."""
+    row = F.struct(value.alias("v"), *[k.alias(f"k{n}") for n, (k, _) in enumerate(order)])
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for n, (_, falls) in reversed(list(enumerate(order))):
+            x, y, up = a[f"k{n}"], b[f"k{n}"], F.lit(-1 if falls else 1)
+            later = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), up).when(y.isNull(), -up)
+            out = later.when(x > y, up).when(x < y, -up).otherwise(out)
+        return out
+
+    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), row)), compare), lambda r: r["v"])
+
+
 def distinct_doubles(v: Val) -> Column:
     """Integers are told apart before they become floats, and there is one zero."""
     x = v.col.cast("double")

@@ -100,25 +100,70 @@ def slice_bounds(v: Val, start: Val | None, stop: Val | None) -> Val:
     return make(fn, v, *[b for b in (start, stop) if b is not None])
 
 
+def let(x, fn):
+    """fn of a value that is computed once, however often fn reads it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def float_text(x):
+    """Shortest digits; an exponent below 1e-4 and from 1e6 on, with a sign and two digits."""
+
+    def shape(parts):
+        digits, exp = parts["digits"], parts["exp"]
+        head, tail = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.char_length(digits))
+        power = F.concat(F.when(exp < 0, "e-").otherwise("e+"), F.lpad(F.abs(exp).cast("string"), F.greatest(F.char_length(F.abs(exp).cast("string")), F.lit(2)), F.lit("0")))
+        sci = F.concat(head, F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), power)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+        whole = F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, F.lit("0"))
+        rest = F.substring(digits, exp + 2, F.char_length(digits))
+        plain = F.when(exp < 0, small).otherwise(F.concat(whole, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest))))
+        return F.concat(parts["sign"], F.when((exp < -4) | (exp >= 6), sci).otherwise(plain))
+
+    def parts(text):
+        size = F.regexp_replace(text, "^-", "")
+        front, power = F.split_part(size, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(size, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+        whole = F.split_part(front, F.lit("."), F.lit(1))
+        raw = F.concat(whole, F.split_part(front, F.lit("."), F.lit(2)))
+        led = F.regexp_replace(raw, "^0+", "")
+        return F.struct(
+            F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
+            F.regexp_replace(led, "0+$", "").alias("digits"),
+            (F.char_length(whole) - 1 - F.char_length(raw) + F.char_length(led) + power).alias("exp"),
+        )
+
+    def text(y):
+        special = F.when(F.isnan(y), "NaN").when(y == float("inf"), "+Inf").when(y == float("-inf"), "-Inf")
+        zero = F.when(y == 0, F.when(y.cast("string").startswith("-"), "-0").otherwise("0"))
+        finite = F.when((y != 0) & ~F.isnan(y) & (F.abs(y) != float("inf")), y)
+        return F.coalesce(special, zero, let(let(finite.cast("string"), parts), shape))
+
+    return let(x.cast("double"), text)
+
+
+#: Number texts: a sign, digits with single underscores nowhere, an exponent; no spaces and no type letters.
+INTEGER_TEXT = r"^[+-]?[0-9]+$"
+FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NAMED_FLOAT = r"^[+-]?(inf|infinity)$"
+
+
+def parsed_float(x):
+    """A float from text, null where it is none or beyond the range of floats."""
+
+    def read(t):
+        value = F.when(t.rlike(FLOAT_TEXT), t).try_cast("double")
+        named = F.when(F.lower(t) == "nan", F.lit(float("nan"))).when(F.lower(t).rlike(NAMED_FLOAT), F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        return F.coalesce(let(value, lambda y: F.when(F.abs(y) < float("inf"), y)), named)
+
+    return let(x, read)
+
+
 def to_string(v: Val) -> Val:
     if v.kind in ("string", "null"):
         return make(lambda x: x.cast("string"), v)
     if v.kind in ("integer", "boolean"):
         return make(lambda x: x.cast("string"), v)
     if v.kind == "float":
-        # Shortest digits: whole numbers without a fraction, exponents with a sign and two digits.
-        def fn(x):
-            x = x.cast("double")
-            size = F.abs(x)
-            plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-            text = F.regexp_replace(x.cast("string"), r"\.0(?=E|$)", "")
-            sci = F.regexp_replace(F.regexp_replace(text, r"E(\d)", "e+$1"), r"E-", "e-")
-            sci = F.regexp_replace(sci, r"e([+-])(\d)$", "e${1}0$2")
-            out = F.when(x == 0, F.when(text.startswith("-"), "-0").otherwise("0")).when((size >= 1e-4) & (size < 1e-3), plain)
-            out = out.when((size >= 1e7) & (size < 1e17), F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"\.?0+$", ""))
-            return out.when(F.isnan(x), "NaN").when(size == float("inf"), F.when(x > 0, "+Inf").otherwise("-Inf")).otherwise(sci)
-
-        return make(fn, v)
+        return make(float_text, v)
     if temporal.is_temporal(v.kind):
         return temporal.text(v)
     raise CypherTypeError(f"toString doesn't take {v.kind}")
@@ -132,14 +177,14 @@ def to_integer(v: Val) -> Val:
     if v.kind == "float":
         return make(lambda x: x.cast("double").try_cast("long"), v)
     want(v, "toInteger", "string")
-    return make(lambda x: F.coalesce(F.trim(x).try_cast("long"), F.trim(x).try_cast("double").try_cast("long")), v)
+    return make(lambda x: F.coalesce(F.when(x.rlike(INTEGER_TEXT), x).try_cast("long"), parsed_float(x).try_cast("long")), v)
 
 
 def to_float(v: Val) -> Val:
     if v.kind in ("integer", "float", "null"):
         return make(lambda x: x.cast("double"), v)
     want(v, "toFloat", "string")
-    return make(lambda x: F.trim(x).try_cast("double"), v)
+    return make(parsed_float, v)
 
 
 def to_boolean(v: Val) -> Val:
@@ -154,10 +199,18 @@ def span(a: Val, b: Val, step: Val | None) -> Val:
 
     def fn(x, y, *s):
         s = s[0].cast("long") if s else F.lit(1).cast("long")
-        x, y = x.cast("long"), y.cast("long")
-        checked = F.when(s == 0, F.raise_error(F.lit("range: step is zero")).cast("long")).otherwise(s)
-        away = ((checked > 0) & (x > y)) | ((checked < 0) & (x < y))
-        return F.when(away, F.array().cast("array<bigint>")).otherwise(F.sequence(x, F.when(away, x).otherwise(y), F.when(away, F.lit(1).cast("long")).otherwise(checked)))
+
+        def checked(r):
+            x, y, s = r["x"], r["y"], r["s"]
+            wide = "decimal(20,0)"
+            many = F.floor(F.abs(y.cast(wide) - x.cast(wide)) / F.abs(F.when(s != 0, s)).cast(wide))
+            away = ((s > 0) & (x > y)) | ((s < 0) & (x < y))
+            wrong = F.when(s == 0, "range: step is zero").when(~away & (many >= RANGE_LIMIT), "range: the result is too large")
+            nothing = F.array().cast("array<bigint>")
+            full = F.sequence(x, F.when(away, x).otherwise(y), F.when(away | (s == 0), F.lit(1).cast("long")).otherwise(s))
+            return F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<bigint>")).when(away, nothing).otherwise(full)
+
+        return let(F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), s.alias("s")), checked)
 
     return make(fn, a, b, *([step] if step is not None else []))
 
@@ -177,13 +230,17 @@ def substring(s: Val, start: Val, length: Val | None) -> Val:
 def replace(s: Val, a: Val, b: Val) -> Val:
     def fn(x, y, z):
         letters = F.filter(F.split(x, ""), lambda c: c != "")
-        spread = F.array_join(F.concat(F.array(F.lit("")), letters, F.array(F.lit(""))), "\u0001")
-        spread = F.when(F.char_length(x) == 0, z).otherwise(F.replace(spread, F.lit("\u0001"), z))
+        spread = F.concat(z, F.array_join(F.transform(letters, lambda c: F.concat(c, z)), ""))
         return F.when(y == "", spread).otherwise(F.replace(x, y, z))
 
     return make(fn, s, a, b)
 
 
+def split(x, y):
+    """Parts between occurrences of y, any signs in which stand for themselves."""
+    return F.split(x, F.concat(F.lit("\\Q"), F.replace(y, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+
+
 def size(v: Val) -> Val:
     if v.kind == "string":
         return make(lambda x: F.char_length(x).cast("long"), v)
@@ -255,7 +312,7 @@ def call(name: str, args: list[Val]) -> Val | None:
         arity(2)
         for x in args:
             want(x, name, "string")
-        return make(lambda x, y: F.when(y == "", F.filter(F.split(x, ""), lambda z: z != "")).otherwise(F.split(x, F.concat(F.lit("\\Q"), y, F.lit("\\E")))), *args)
+        return make(lambda x, y: F.when(y == "", F.filter(F.split(x, ""), lambda z: z != "")).otherwise(split(x, y)), *args)
     if name == "substring":
         arity(2, 3)
         want(a, name, "string")
@@ -305,7 +362,9 @@ def call(name: str, args: list[Val]) -> Val | None:
         if a.kind == "map":
             return a
         want(a, name, "node", "relationship")
-        return make(lambda x: x["props"], a)
+        found = make(lambda x: x["props"], a)
+        found.sparse = True
+        return found
     if name == "keys":
         return keys(a)
     if name in ("nodes", "relationships"):
@@ -315,12 +374,13 @@ def call(name: str, args: list[Val]) -> Val | None:
 
 
 def keys(v: Val) -> Val:
-    """Sorted names of what is not null."""
+    """Sorted names: all of a map's, and of an entity's properties, as itself or as a map, those that are not null."""
     if v.kind in ("node", "relationship"):
         names, base = [f.name for f in v.type["props"].dataType.fields], lambda x: x["props"]
     elif v.kind == "map" and isinstance(v.type, T.StructType):
         names, base = v.type.fieldNames(), lambda x: x
-        return make(lambda x: F.when(x.isNotNull(), F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")), v)
+        if not v.sparse:
+            return make(lambda x: F.when(x.isNotNull(), F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")), v)
     else:
         raise CypherTypeError(f"keys doesn't take {v.kind}")
     return make(lambda x: F.when(x.isNotNull(), F.filter(F.array(*[F.when(base(x)[n].isNotNull(), F.lit(n)) for n in sorted(names)]).cast("array<string>"), lambda k: k.isNotNull())), v)

@@ -308,6 +308,8 @@ def truncate(kind: str, unit: Val, v: Val, extra: Val | None = None) -> Val:
     if not unit.is_constant:
         raise CypherError("truncate takes a constant unit")
     name = str(unit.constant).lower()
+    if extra is not None and extra.kind != "null":
+        return _overridden(kind, name, truncate(kind, unit, v), extra)
     if v.kind in ("localtime", "time"):
         sizes = {"day": DAY * NANO, "hour": 3600 * NANO, "minute": 60 * NANO, "second": NANO, "millisecond": 1_000_000, "microsecond": 1000}
         cut = make(lambda x: x.withField("nanos_of_day", x["nanos_of_day"] - x["nanos_of_day"] % sizes[name]), v)
@@ -327,6 +329,24 @@ def truncate(kind: str, unit: Val, v: Val, extra: Val | None = None) -> Val:
     return convert(kind, cut)
 
 
+def _overridden(kind: str, unit: str, cut: Val, extra: Val) -> Val:
+    """A truncated value with components of its own from a map."""
+    if not isinstance(extra.type, T.StructType):
+        raise CypherTypeError("truncate takes a map of components")
+    names = {n.lower(): n for n in extra.type.fieldNames()}
+    role = {"date": "date", "localtime": "time", "time": "time"}.get(kind, "datetime")
+
+    def merged(x: Column, m: Column) -> Column:
+        fields = [x.alias(role), *[m[n].alias(n) for n in extra.type.fieldNames()]]
+        if "dayofweek" in names and "week" not in names:
+            fields += [F.weekofyear(x).alias("week"), *([] if "year" in names else [F.extract(F.lit("yearofweek"), x).alias("year")])]
+        if "dayofquarter" in names and "quarter" not in names:
+            fields.append(F.quarter(x).alias("quarter"))
+        return F.struct(*fields)
+
+    return from_map(kind, make(merged, cut, extra))
+
+
 def component(v: Val, key: str) -> Val:
     name = key.lower()
     if v.kind == "duration":

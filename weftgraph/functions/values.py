@@ -91,6 +91,8 @@ class Val:
     known: T.DataType | None = None
     constant: object = None
     is_constant: bool = False
+    #: Whether fields that are null are absent, as in the map of an entity's properties.
+    sparse: bool = False
 
     @cached_property
     def type(self) -> T.DataType:

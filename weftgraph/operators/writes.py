@@ -265,12 +265,17 @@ class Writer(Compiler):
         scope = {k: wide if v is entity or (isinstance(v, Entity) and v.prefix == entity.prefix) else v for k, v in state.scope.items()}
         return replace(state, df=df.drop(f"{row}_set"), scope=scope)
 
+    def labels(self, counter: str, e: Entity, changed: Column, df: DataFrame) -> None:
+        """Count the labels that change, each once for a node."""
+        rows = df.where(e.col("id").isNotNull()).select(e.col("id").alias("id"), F.explode(changed).alias("label"))
+        self.batch.count(counter, rows.distinct())
+
     def set_item(self, item: t.SetItem, state: State, row: str, when: Column | None = None) -> State:
         if not isinstance(item.target, t.HasLabels):
             state = self.prepare([item.value], state)
         if isinstance(item.target, t.HasLabels):
             e = self.target(item.target.of, state)
-            self.batch.count("labels_added", state.df.where(~F.arrays_overlap(e.col("labels"), F.array(*map(F.lit, item.target.labels)))))
+            self.labels("labels_added", e, F.array_except(F.array(*map(F.lit, item.target.labels)), e.col("labels")), state.df if when is None else state.df.where(when))
             return self.change(e, state, row, {f"{e.prefix}$labels": F.array_sort(F.array_union(e.col("labels"), F.array(*map(F.lit, item.target.labels))))}, {}, when)
         if isinstance(item.target, t.Prop):
             e = self.target(item.target.of, state)
@@ -316,7 +321,7 @@ class Writer(Compiler):
         if isinstance(item, t.HasLabels):
             e = self.target(item.of, state)
             gone = F.array(*map(F.lit, item.labels))
-            self.batch.count("labels_removed", state.df.where(F.arrays_overlap(e.col("labels"), gone)))
+            self.labels("labels_removed", e, F.array_intersect(e.col("labels"), gone), state.df)
             return self.change(e, state, row, {f"{e.prefix}$labels": F.array_except(e.col("labels"), gone)}, {}, None)
         if not isinstance(item, t.Prop):
             raise CypherError("REMOVE takes a property or labels")

@@ -62,10 +62,16 @@ class Entity:
             return [f"{self.prefix}$list"]
         return [f"{self.prefix}$id"] + ([f"{self.prefix}$key"] if self.kind == "node" and self.key_label else [])
 
+ORDER = " order"
+
 
 @dataclass
 class State:
-    """Bindings so far."""
+    """Bindings so far.
+
+    Names that begin with a space are the compiler's own, ORDER for the keys of the
+    last ORDER BY in turn, with their direction at the end.
+    """
 
     df: DataFrame
     scope: dict[str, Entity | str] = field(default_factory=dict)
@@ -780,19 +786,30 @@ class Compiler:
             keys = [x for b in scope.values() for x in (b.identity if isinstance(b, Entity) else [b])]
             new = replace(new, df=both.df.select(*map(c, new.columns())).dropDuplicates(list(dict.fromkeys([*hidden, *keys]))))
             both = replace(both, df=new.df, scope=scope)
-        df = self.ordered(p, items, both, hidden)
-        final = State(df, scope, hidden)
+        df, order = self.ordered(p, items, both, hidden)
+        if p.final:
+            order = {}
+        elif not p.order and not p.distinct and not any(has_aggregate(i.expr) for i in items):
+            order = {k: v for k, v in state.scope.items() if k.startswith(ORDER)}
+        final = State(df, {**scope, **order}, hidden)
         cols = final.columns()
         return replace(final, df=df.select(*map(c, cols)) if cols else df.select(F.lit(True).alias("$unit")))
 
-    def ordered(self, p: t.Project, items: list[t.Item], state: State, hidden: tuple[str, ...]) -> DataFrame:
-        """ORDER BY, SKIP and LIMIT; in a subquery per group of its imports."""
+    def ordered(self, p: t.Project, items: list[t.Item], state: State, hidden: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+        """ORDER BY, SKIP and LIMIT; in a subquery per group of its imports.
+
+        Of WITH, the keys stay as columns, by which a later collect can put its values in order.
+        """
         known = {i.expr.text: i.name for i in items if i.expr.text}
-        order = []
+        order, kept = [], {}
         for e, down in p.order:
             e = t.Var(known[e.text], text=e.text) if e.text in known and known[e.text] in state.scope else e
             state = self.prepare([e], state)
             key = sort_key(self.expr(e, state)).col
+            if not p.final:
+                name = self.fresh("o")
+                state = replace(state, df=state.df.withColumn(name, key))
+                key, kept[f"{ORDER}{len(order):04d}{'-' if down else '+'}"] = c(name), name
             order.append(key.desc_nulls_first() if down else key.asc_nulls_last())
         skip = self.count_of(p.skip, "SKIP")
         limit = self.count_of(p.limit, "LIMIT")
@@ -801,12 +818,12 @@ class Compiler:
             place = F.row_number().over(Window.partitionBy(*map(c, hidden)).orderBy(*(order or [F.lit(1)])))
             name = self.fresh("w")
             df = df.withColumn(name, place).where(c(name) > (skip or 0))
-            return df.where(c(name) <= (skip or 0) + limit) if limit is not None else df
+            return (df.where(c(name) <= (skip or 0) + limit) if limit is not None else df), kept
         if order:
             df = df.orderBy(*order)
         if skip:
             df = df.offset(skip)
-        return df.limit(limit) if limit is not None else df
+        return (df.limit(limit) if limit is not None else df), kept
 
     def count_of(self, e: t.Expr | None, what: str) -> int | None:
         if e is None:
@@ -859,7 +876,8 @@ class Compiler:
                 if any(has_aggregate(a) for a in e.args):
                     raise CypherError("aggregates cannot be nested")
                 name = self.fresh("a")
-                aggs.append(aggregates.build(e, [self.expr(a, state) for a in e.args], self).alias(name))
+                order = [(c(state.scope[k]), k[-1] == "-") for k in sorted(state.scope) if k.startswith(ORDER)]
+                aggs.append(aggregates.build(e, [self.expr(a, state) for a in e.args], self, order).alias(name))
                 inside[f" {name}"] = name
                 return t.Var(f" {name}", text=e.text)
             if isinstance(e, t.Expr) and e.text and e.text in known:

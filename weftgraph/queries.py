@@ -5,15 +5,18 @@ A query is Cypher text; floating results are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cypher
-from .operators.writes import Batch
+from .operators.checkpoints import shared_folder
+from .operators.writes import Batch, execute
 from .plans.parser import parse
 from .sources.graph import from_rows, over_tables
+from .sources.store import FOLDER, Store
 
 #: name: (Cypher, SQL)
 READ: dict[str, tuple[str, str]] = {
@@ -96,7 +99,35 @@ READ: dict[str, tuple[str, str]] = {
     "return_star_count": ("MATCH (n:Nation) WITH n.n_regionkey AS r RETURN *, count(*) AS n", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1"),
     "case_simple": ("MATCH (o:Order) RETURN CASE o.o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, count(*) AS n FROM orders GROUP BY 1"),
     "case_searched": ("MATCH (p:Part) RETURN CASE WHEN p.p_size < 10 THEN 'small' WHEN p.p_size < 30 THEN 'middle' END AS s, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' END AS s, count(*) AS n FROM part GROUP BY 1"),
-    "top_k_per_group": ("MATCH (c:Customer) WITH c.c_nationkey AS n, c ORDER BY c.c_acctbal DESC WITH n, max(c.c_acctbal) AS top RETURN n, top", "SELECT c_nationkey AS n, max(c_acctbal) AS top FROM customer GROUP BY 1"),
+    "top_k_per_group": (
+        "MATCH (c:Customer) WITH c.c_nationkey AS n, c ORDER BY c.c_acctbal DESC WITH n, collect(c.c_acctbal)[0..3] AS best UNWIND best AS top RETURN n, top",
+        "SELECT c_nationkey AS n, c_acctbal AS top FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) <= 3",
+    ),
+    "collect_in_order": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, o ORDER BY o.o_orderstatus DESC, o.o_orderkey WITH c.c_custkey AS k, collect(o.o_orderkey) AS orders UNWIND range(0, size(orders) - 1) AS i RETURN k, i, orders[i] AS o",
+        "SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey) - 1 AS i, o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey",
+    ),
+    "float_texts": (
+        "MATCH (o:Order) WHERE o.o_totalprice < 1000000 RETURN o.o_orderkey AS k, toString(o.o_totalprice) AS t, toString(o.o_totalprice / 10 ^ 12 > 0) AS b",
+        r"SELECT o_orderkey AS k, regexp_replace(CAST(o_totalprice AS VARCHAR), '\.0$', '') AS t, 'true' AS b FROM orders WHERE o_totalprice < 1000000",
+    ),
+    "float_text_forms": (
+        "UNWIND [0.00002, 0.0001, 1000000.0, 12345678.1234567, 999999.0, -0.5, 1e21, 1.5e300, -0.0, 123456.789] AS x RETURN toString(x) AS t",
+        "SELECT unnest(['2e-05', '0.0001', '1e+06', '1.23456781234567e+07', '999999', '-0.5', '1e+21', '1.5e+300', '-0', '123456.789']) AS t",
+    ),
+    "number_parsing": (
+        "UNWIND ['7', ' 7 ', '1.5d', '1.5f', '-1.9', '+3', '1e3', '', 'x', '0x10', '9223372036854775807', '.5', '5.'] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f",
+        "SELECT unnest(['7', ' 7 ', '1.5d', '1.5f', '-1.9', '+3', '1e3', '', 'x', '0x10', '9223372036854775807', '.5', '5.']) AS s, unnest([7, NULL, NULL, NULL, -1, 3, 1000, NULL, NULL, NULL, 9223372036854775807, 0, 5]) AS i, unnest([7.0::DOUBLE, NULL, NULL, NULL, -1.9, 3.0, 1000.0, NULL, NULL, NULL, 9223372036854775807::DOUBLE, 0.5, 5.0]) AS f",
+    ),
+    "truncate_with_map": (
+        "MATCH (o:Order) WITH date(o.o_orderdate) AS d, o RETURN o.o_orderkey AS k, toString(date.truncate('month', d, {day: 4})) AS m, toString(date.truncate('year', d, {month: 3})) AS y, toString(date.truncate('week', d, {dayOfWeek: 3})) AS w",
+        "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 3 DAY, '%Y-%m-%d') AS m, strftime(date_trunc('year', o_orderdate) + INTERVAL 2 MONTH, '%Y-%m-%d') AS y, strftime(date_trunc('week', o_orderdate) + INTERVAL 2 DAY, '%Y-%m-%d') AS w FROM orders",
+    ),
+    "range_sizes": ("MATCH (p:Part) RETURN p.p_partkey AS k, size(range(0, p.p_size)) AS a, size(range(p.p_size, 0, -3)) AS b", "SELECT p_partkey AS k, p_size + 1 AS a, p_size // 3 + 1 AS b FROM part"),
+    "split_and_replace": (
+        "MATCH (p:Part) RETURN p.p_partkey AS k, size(split(p.p_name, ' ')) AS n, replace(p.p_type, '', '-') AS r",
+        "SELECT p_partkey AS k, len(string_split(p_name, ' ')) AS n, '-' || regexp_replace(p_type, '(.)', '\\1-', 'g') AS r FROM part",
+    ),
     # aggregation
     "count_star": ("MATCH ()-[r:SUPPLIES]->() RETURN count(*) AS n", "SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"),
     "count_distinct": ("MATCH (e:Event) RETURN e.event_type AS t, count(DISTINCT e.user_id) AS users", "SELECT event_type AS t, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
@@ -158,6 +189,7 @@ FLOATS = {
     "point_lookup": ["price"],
     "order_skip_limit": ["price"],
     "top_k_per_group": ["top"],
+    "number_parsing": ["f"],
     "sum_avg": ["a", "q"],
     "min_max": ["a"],
     "stdev": ["s"],
@@ -225,6 +257,45 @@ def _written(change: str, read: str) -> Callable[[SparkSession, str], DataFrame]
     return run
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a first commit: nations, and none."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nodes = nation.select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.array(F.lit("Nation")).alias("labels"), F.lit("").alias("body"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), F.lit(False).alias("deleted"))
+    return nodes, _no_edges(spark).withColumn("deleted", F.lit(False))
+
+
+def _stored(changes: list[str], read: str, revision: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """What is read from a store, now or at a revision, after its first commit and some statements."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        store.commit(*_nations(spark, sf_dir), actor="loader")
+        for text in changes:
+            execute(store, text, actor="me")
+        return cypher.query(store.graph(revision), read)
+
+    return run
+
+
+def _label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a statement that sets two labels, one of which the nodes have."""
+    nodes, edges = _nations(spark, sf_dir)
+    batch = Batch(from_rows(spark, nodes.drop("deleted"), edges.drop("deleted")))
+    for statement in parse("MATCH (n:Nation) WHERE n.key < 10 SET n:Nation:Low; MATCH (n:Low) WHERE n.key < 4 REMOVE n:Low:Other"):
+        batch.run(statement)
+    return spark.createDataFrame([(batch.counters["labels_added"], batch.counters["labels_removed"])], "added long, removed long")
+
+
+def _history_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a sound store, and of one into whose files a second row of a node has got."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(*_nations(spark, sf_dir))
+    sound = store.problems().count()
+    folder = store.revisions().first()["folder"]
+    _nations(spark, sf_dir)[0].where("key = 3").withColumn("revision", F.lit(1).cast("long")).write.mode("append").parquet(f"{store.folder}/nodes/{FOLDER}={folder}")
+    return store.problems().select(F.lit(sound).cast("long").alias("before"), "what", "id")
+
+
 #: name: (what gives the rows, SQL)
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "snapshot_at_revision": (_snapshot("revision <= 40"), "SELECT o_orderstatus AS s, count(*) AS n FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderdate) AS r FROM orders) WHERE r <= 40 GROUP BY 1"),
@@ -240,6 +311,20 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "set_property": (_written("MATCH (n:Nation) WHERE n.key > 10 SET n.rank = n.key * 2, n.name = null", "MATCH (n:Nation) RETURN n.key AS k, n.rank AS r, n.name AS name"), "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 10 THEN n_nationkey * 2 END AS r, CASE WHEN n_nationkey <= 10 THEN n_name END AS name FROM nation"),
     "remove_label": (_written("MATCH (n:Nation) WHERE n.key < 5 REMOVE n:Nation SET n:Old", "MATCH (n) WHERE n:Nation OR n:Old RETURN labels(n)[0] AS l, count(*) AS n"), "SELECT CASE WHEN n_nationkey < 5 THEN 'Old' ELSE 'Nation' END AS l, count(*) AS n FROM nation GROUP BY 1"),
+    "store_commit_read": (
+        _stored(["MATCH (n:Nation) WHERE n.key < 3 SET n.rank = n.key + 1", "CREATE (:Nation {key: 99, name: 'new'})"], "MATCH (n:Nation) RETURN n.key AS k, n.name AS name, n.rank AS r"),
+        "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey < 3 THEN n_nationkey + 1 END AS r FROM nation UNION ALL SELECT 99, 'new', NULL",
+    ),
+    "store_time_travel": (
+        _stored(["MATCH (n:Nation) WHERE n.key < 3 DETACH DELETE n", "MATCH (n:Nation) SET n.name = 'gone'"], "MATCH (n:Nation) RETURN n.key AS k, n.name AS name", revision=2),
+        "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey >= 3",
+    ),
+    "store_net_no_op": (
+        _stored(["CREATE (x:Tmp) WITH x DETACH DELETE x", "MATCH (n:Nation) SET n.name = n.name", "MATCH (n:Nation {key: 0}) SET n.name = 'first'"], "CALL graph.revisions(10) YIELD revision, actor RETURN revision, actor"),
+        "SELECT unnest([1, 2]) AS revision, unnest(['loader', 'me']) AS actor",
+    ),
+    "store_problems": (_history_problems, "SELECT 0 AS before, 'nodes: changed twice in a revision' AS what, 'Nation:3' AS id"),
+    "set_labels_counted": (_label_counts, "SELECT count(CASE WHEN n_nationkey < 10 THEN 1 END) AS added, count(CASE WHEN n_nationkey < 4 THEN 1 END) AS removed FROM nation"),
     "detach_delete": (_written("MATCH (n:Nation) WHERE n.key < 12 DETACH DELETE n", "MATCH (s:Supplier) OPTIONAL MATCH (s)-[:LOCATED_IN]->(n) RETURN count(s) AS s, count(n) AS n"), "SELECT count(*) AS s, count(CASE WHEN s_nationkey >= 12 THEN 1 END) AS n FROM supplier"),
 }
 
