@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..plans.errors import CypherError, CypherTypeError
 from . import temporal
-from .values import Val, make, numeric
+from .values import Val, let, make, numeric
 
 #: Code points of Unicode white space, for trim.
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -100,11 +100,6 @@ def slice_bounds(v: Val, start: Val | None, stop: Val | None) -> Val:
     return make(fn, v, *[b for b in (start, stop) if b is not None])
 
 
-def let(x, fn):
-    """fn of a value that is computed once, however often fn reads it."""
-    return F.get(F.transform(F.array(x), fn), F.lit(0))
-
-
 def float_text(x):
     """Shortest digits; an exponent below 1e-4 and from 1e6 on, with a sign and two digits."""
 

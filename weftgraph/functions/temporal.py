@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.errors import CypherError, CypherTypeError
-from .values import DURATION, LOCAL_TIME, OFFSET_TIME, Val, make
+from .values import DURATION, LOCAL_TIME, OFFSET_TIME, Val, let, make
+
+#: The type of each kind of value.
+TYPES = {"date": T.DateType(), "localtime": LOCAL_TIME, "time": OFFSET_TIME, "localdatetime": T.TimestampNTZType(), "datetime": T.TimestampType(), "duration": DURATION}
 
 KINDS = ("date", "localtime", "time", "localdatetime", "datetime", "duration")
 INSTANT = ("date", "localdatetime", "datetime")
@@ -204,8 +207,7 @@ def parse(kind: str, v: Val) -> Val:
         instant = F.timestamp_micros(micros - offset(bare).cast("long") * 1_000_000)
         return F.when((zone != "") & ~bare.rlike(r"(Z|[-+]\d{2}:?\d{0,2})$"), F.to_utc_timestamp(F.timestamp_micros(micros), zone)).otherwise(instant)
 
-    known = {"localtime": LOCAL_TIME, "time": OFFSET_TIME}.get(kind)
-    return make(fn, v, known=known)
+    return make(lambda x: let(x, fn), v, known=TYPES[kind])
 
 
 def utc_ntz(micros: Column) -> Column:
@@ -252,19 +254,18 @@ def from_map_duration(v: Val) -> Val:
 
 def from_map(kind: str, v: Val) -> Val:
     names = ("date", "time", "datetime", "year", "month", "day", "week", "dayOfWeek", "ordinalDay", "quarter", "dayOfQuarter", "hour", "minute", "second", "millisecond", "microsecond", "nanosecond", "timezone")
-    f = pick(v, *names)
-    base = f.get("datetime") or f.get("date")
-    clock = f.get("datetime") or f.get("time")
-    if base is not None:
-        base = convert("date", base)
-    if clock is not None:
-        clock = convert("localtime", clock)
-    order = [*f, *(["_date"] if base is not None else []), *(["_clock"] if clock is not None else [])]
-    vals = [*f.values(), *([base] if base is not None else []), *([clock] if clock is not None else [])]
+    given = {x.name.lower(): x for x in v.type.fields}
+    given = {n: given[n.lower()] for n in names if n.lower() in given}
 
-    def fn(*cols: Column) -> Column:
-        n = dict(zip(order, cols, strict=True))
-        day0, time0 = n.get("_date"), n.get("_clock")
+    def part(m: Column, kind: str, *names: str) -> Column | None:
+        """The first of the named fields that is given, as another kind."""
+        for x in (given[n] for n in names if n in given):
+            return convert(kind, Val(m[x.name], v.shadow[x.name], v.env, v.typer, x.dataType)).col
+        return None
+
+    def fn(m: Column) -> Column:
+        n = {k: m[x.name] for k, x in given.items()}
+        day0, time0 = part(m, "date", "datetime", "date"), part(m, "localtime", "datetime", "time")
         whole = lambda k, other: n[k].cast("int") if k in n else other
         start = lambda get, k: get(day0) if day0 is not None else F.lit(k)
         year = whole("year", start(F.year, 1970))
@@ -295,7 +296,7 @@ def from_map(kind: str, v: Val) -> Val:
             return utc_ntz(micros)
         return F.to_utc_timestamp(F.timestamp_micros(micros), zone) if zone is not None else F.timestamp_micros(micros)
 
-    return make(fn, *vals, known={"localtime": LOCAL_TIME, "time": OFFSET_TIME}.get(kind))
+    return make(lambda x: let(x, fn), v, known=TYPES[kind])
 
 
 def zone_offset(zone: Column) -> Column:
@@ -446,27 +447,41 @@ def between(method: str, a: Val, b: Val) -> Val:
         return make(lambda x, y: duration_struct(F.lit(0), F.lit(0), F.lit(0), y["nanos_of_day"] - x["nanos_of_day"]), a, b, known=DURATION)
     micros = lambda x: F.unix_micros(x.cast("timestamp"))
 
-    def fn(x: Column, y: Column) -> Column:
-        zero = F.lit(0)
-        gap = micros(y) - micros(x)
+    zero = F.lit(0)
+
+    def months(p: Column) -> Column:
+        """The whole months, and the microseconds that are left then."""
+        x, y, gap = p["x"], p["y"], p["end"] - p["start"]
+        rough = (F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)
+        there = x + F.make_ym_interval(zero, rough.cast("int"))
+        over = F.when((gap >= 0) & (there > y), -1).when((gap < 0) & (there < y), 1).otherwise(0)
+        return F.struct(x.alias("x"), p["end"].alias("end"), (rough + over).alias("months"))
+
+    def days(p: Column) -> Column:
+        rest = p["end"] - micros(p["x"] + F.make_ym_interval(zero, p["months"].cast("int")))
+        return F.struct(p["months"].alias("months"), rest.alias("rest"), (rest / (DAY * 1_000_000)).cast("long").alias("days"))
+
+    def whole(p: Column) -> Column:
+        left = p["rest"] - p["days"] * DAY * 1_000_000
+        return duration_struct(p["months"], p["days"], F.floor(left / 1_000_000), F.pmod(left, F.lit(1_000_000)) * 1000)
+
+    def fn(p: Column) -> Column:
+        gap = p["end"] - p["start"]
         if method == "inseconds":
             return duration_struct(zero, zero, F.floor(gap / 1_000_000), F.pmod(gap, F.lit(1_000_000)) * 1000)
         if method == "indays":
             return duration_struct(zero, (gap / (DAY * 1_000_000)).cast("long"), zero, zero)
-        rough = (F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)
-        there = lambda m: x + F.make_ym_interval(zero, m.cast("int"))
-        over = F.when((gap >= 0) & (there(rough) > y), -1).when((gap < 0) & (there(rough) < y), 1).otherwise(0)
-        months = rough + over
         if method == "inmonths":
-            return duration_struct(months, zero, zero, zero)
-        rest = micros(y) - micros(there(months))
-        days = (rest / (DAY * 1_000_000)).cast("long")
-        left = rest - days * DAY * 1_000_000
-        return duration_struct(months, days, F.floor(left / 1_000_000), F.pmod(left, F.lit(1_000_000)) * 1000)
+            return let(months(p), lambda q: duration_struct(q["months"], zero, zero, zero))
+        return let(let(months(p), days), whole)
+
+    def pair(x: Column, y: Column) -> Column:
+        ends = let(F.struct(x.alias("x"), y.alias("y")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), micros(p["x"]).alias("start"), micros(p["y"]).alias("end")))
+        return let(ends, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), fn(p)))
 
     if method not in ("between", "inmonths", "indays", "inseconds"):
         raise CypherError(f"unknown function duration.{method}")
-    return make(lambda x, y: F.when(x.isNotNull() & y.isNotNull(), fn(x, y)), ntz(a), ntz(b), known=DURATION)
+    return make(pair, ntz(a), ntz(b), known=DURATION)
 
 
 def offset_text(x: Column) -> Column:
@@ -487,13 +502,18 @@ def text(v: Val) -> Val:
     if v.kind == "date":
         return make(lambda x: x.cast("string"), v)
     if v.kind == "localtime":
-        return make(lambda x: clock_text(x["nanos_of_day"]), v)
+        return make(lambda x: let(x["nanos_of_day"], clock_text), v, known=T.StringType())
     if v.kind == "time":
-        return make(lambda x: F.concat(clock_text(x["nanos_of_day"]), offset_text(x["offset"])), v)
+        return make(lambda x: let(x, lambda t: F.concat(clock_text(t["nanos_of_day"]), offset_text(t["offset"]))), v, known=T.StringType())
     if v.kind in ("localdatetime", "datetime"):
-        day, clock = make(lambda x: x.cast("date").cast("string"), ntz(v)), convert("localtime", v)
         tail = "Z" if v.kind == "datetime" else ""
-        return make(lambda d, x: F.concat(d, F.lit("T"), clock_text(x["nanos_of_day"]), F.lit(tail)), day, clock)
+
+        def stamp(x: Column) -> Column:
+            own = Val(x, v.shadow, v.env, v.typer, v.type)
+            clock = let(convert("localtime", own).col["nanos_of_day"], clock_text)
+            return F.concat(ntz(own).col.cast("date").cast("string"), F.lit("T"), clock, F.lit(tail))
+
+        return make(lambda x: let(x, stamp), v, known=T.StringType())
 
     def fn(d: Column) -> Column:
         bit = lambda n, unit: F.when(n != 0, F.concat(n.cast("long").cast("string"), F.lit(unit))).otherwise("")
@@ -510,4 +530,4 @@ def text(v: Val) -> Val:
         time = F.concat(part(h, "H"), part(m, "M"), sec)
         return F.when((date == "") & (time == ""), "PT0S").otherwise(F.concat(F.lit("P"), date, F.when(time == "", "").otherwise(F.concat(F.lit("T"), time))))
 
-    return make(fn, v, known=T.StringType())
+    return make(lambda x: let(x, fn), v, known=T.StringType())

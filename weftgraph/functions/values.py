@@ -111,6 +111,11 @@ def make(fn: Callable[..., Column], *vals: Val, known: T.DataType | None = None)
     return Val(col, shadow, wide.env, wide.typer, known)
 
 
+def let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, and stands once in the plan, however often fn reads it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def numeric(kind: str) -> bool:
     return kind in ("integer", "float", "null")
 

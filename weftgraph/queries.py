@@ -123,6 +123,10 @@ READ: dict[str, tuple[str, str]] = {
         "MATCH (o:Order) WITH date(o.o_orderdate) AS d, o RETURN o.o_orderkey AS k, toString(date.truncate('month', d, {day: 4})) AS m, toString(date.truncate('year', d, {month: 3})) AS y, toString(date.truncate('week', d, {dayOfWeek: 3})) AS w",
         "SELECT o_orderkey AS k, strftime(date_trunc('month', o_orderdate) + INTERVAL 3 DAY, '%Y-%m-%d') AS m, strftime(date_trunc('year', o_orderdate) + INTERVAL 2 MONTH, '%Y-%m-%d') AS y, strftime(date_trunc('week', o_orderdate) + INTERVAL 2 DAY, '%Y-%m-%d') AS w FROM orders",
     ),
+    "duration_between": (
+        "MATCH (o:Order) WITH o.o_orderkey AS k, duration.between(date('1990-01-15'), date(o.o_orderdate)) AS d RETURN k, d.months AS m, d.days AS days, toString(d) AS t",
+        "SELECT k, m, days, 'P' || CASE WHEN m // 12 > 0 THEN (m // 12) || 'Y' ELSE '' END || CASE WHEN m % 12 > 0 THEN (m % 12) || 'M' ELSE '' END || CASE WHEN days > 0 THEN days || 'D' ELSE '' END AS t FROM (SELECT *, date_diff('day', CAST(DATE '1990-01-15' + to_months(CAST(m AS INTEGER)) AS DATE), d) AS days FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, date_sub('month', DATE '1990-01-15', CAST(o_orderdate AS DATE)) AS m FROM orders))",
+    ),
     "range_sizes": ("MATCH (p:Part) RETURN p.p_partkey AS k, size(range(0, p.p_size)) AS a, size(range(p.p_size, 0, -3)) AS b", "SELECT p_partkey AS k, p_size + 1 AS a, p_size // 3 + 1 AS b FROM part"),
     "split_and_replace": (
         "MATCH (p:Part) RETURN p.p_partkey AS k, size(split(p.p_name, ' ')) AS n, replace(p.p_type, '', '-') AS r",
