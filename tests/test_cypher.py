@@ -86,7 +86,7 @@ def test_rows(graph, text, want):
 
 @pytest.mark.parametrize(
     "text",
-    ["RETURN x", "RETURN 1 AS a, 2 AS a", "MATCH (n) WITH n.name RETURN 1", "RETURN nothing(1)", "MATCH (n) WHERE n.name RETURN n", "RETURN 'a' - 1", "RETURN count(count(1))", "RETURN 1 AS a LIMIT -1", "RETURN $missing", "RETURN 1 AS a UNION RETURN 1 AS b", "CALL no.such()", "RETURN *", "CREATE (n)"],
+    ["RETURN x", "RETURN 1 AS a, 2 AS a", "MATCH (n) WITH n.name RETURN 1", "RETURN nothing(1)", "MATCH (n) WHERE n.name RETURN n", "RETURN 'a' - 1", "RETURN count(count(1))", "RETURN 1 AS a LIMIT -1", "RETURN $missing", "RETURN 1 AS a UNION RETURN 1 AS b", "CALL no.such()", "RETURN *", "CREATE (n)", "MATCH (a)-[r]->(b)-[r]->(c) RETURN a"],
 )
 def test_rejected(graph, text):
     with pytest.raises(CypherError):

@@ -24,6 +24,8 @@ if TYPE_CHECKING:
 
 #: Bounded lengths up to this are one plan; longer ones are cut at each level.
 UNROLLED = 6
+#: Levels of a search are kept as they were written until there are more of them.
+MERGED = 16
 
 
 def bounds(comp: Compiler, rel: t.RelPattern) -> tuple[int, int | None]:
@@ -36,9 +38,23 @@ def bounds(comp: Compiler, rel: t.RelPattern) -> tuple[int, int | None]:
     return lo, hi
 
 
-def all_nodes(comp: Compiler) -> DataFrame:
-    """$far_id and $node: every node as a whole value."""
-    df, e = comp.scan(None, [])
+def around(comp: Compiler, rel: t.RelPattern, back: bool, labels: frozenset[str] | None) -> frozenset[str] | None:
+    """Labels of the nodes that such relationships can lead to, however often, from nodes with these; None: any."""
+    ends = [(e.source, e.target) for e in comp.graph.edge_tables(rel.types)]
+    if labels is None or any(None in x for x in ends):
+        return None
+    if rel.direction == "both":
+        ends += [(b, a) for a, b in ends]
+    elif (rel.direction == "in") != back:
+        ends = [(b, a) for a, b in ends]
+    while more := frozenset(b for a, b in ends if a in labels) - labels:
+        labels |= more
+    return labels
+
+
+def all_nodes(comp: Compiler, labels: frozenset[str] | None = None) -> DataFrame:
+    """$far_id and $node: every node with one of the labels as a whole value."""
+    df, e = comp.scan(None, [], labels)
     return df.select(e.col("id").alias("$far_id"), comp.entity_struct(e, path=True).alias("$node"))
 
 
@@ -47,7 +63,7 @@ def variable(comp: Compiler, state: State, near: Entity, rel: t.RelPattern, node
 
     lo, hi = bounds(comp, rel)
     prefix = comp.fresh("r")
-    anyone = replace(near, labels=None)
+    anyone = replace(near, labels=around(comp, rel, back, near.labels))
     edges, e, far_labels, _, _ = comp.edge_frame(replace(rel, length=None), back, anyone, [], False)
     whole = bool(pattern.var) or (rel.var is not None and (rel.var in comp.used or "*" in comp.used))
     types = e.labels
@@ -60,7 +76,7 @@ def variable(comp: Compiler, state: State, near: Entity, rel: t.RelPattern, node
     cur = state.df.withColumn(names["far"], near.col("id"))
     if listed:
         cur = cur.withColumn(names["list"], F.array().cast(T.ArrayType(element)))
-    nodes = all_nodes(comp) if pattern.var else None
+    nodes = all_nodes(comp, anyone.labels) if pattern.var else None
     if nodes is not None:
         cur = cur.withColumn(names["nodes"], F.array(comp.entity_struct(near, path=True)))
     keep = cur.columns
@@ -155,52 +171,80 @@ def breadth_first(comp: Compiler, pattern: t.PathPattern, state: State, rel: t.R
             state = replace(state, df=df if state.unit else state.df.crossJoin(df), scope={**state.scope, name: entity}, unit=False)
             state = comp.having(state, entity, node.props)
     a, b = state.scope[ends[0]], state.scope[ends[1]]
-    found = search(comp, state, a, b, rel, lo, hi, pattern.shortest)
+    # Where only lengths are asked of a path between given ends, no step of it is carried.
+    narrow = fixed and not (rel.var and (rel.var in comp.used or "*" in comp.used)) and (not pattern.var or pattern.var in comp.measured)
+    found = search(comp, state, a, b, rel, lo, hi, pattern.shortest, narrow)
     name = comp.fresh("p")
     df = state.df.join(found, (a.col("id") == c("$src")) & (b.col("id") == c("$dst"))).withColumn(name, c("$path")).drop("$src", "$dst", "$path")
     return replace(state, df=df), name, fixed
 
 
-def search(comp: Compiler, state: State, a: Entity, b: Entity, rel: t.RelPattern, lo: int, hi: int | None, kind: str) -> DataFrame:
-    """$src, $dst, $path for the wanted pairs, breadth first."""
+def search(comp: Compiler, state: State, a: Entity, b: Entity, rel: t.RelPattern, lo: int, hi: int | None, kind: str, narrow: bool) -> DataFrame:
+    """$src, $dst, $path for the wanted pairs, breadth first; a narrow path has relationships without values."""
     from ..plans.compiler import Entity
 
     pairs = stored(state.df.select(a.col("id").alias("$src"), b.col("id").alias("$dst")).where(c("$src").isNotNull() & c("$dst").isNotNull()).distinct())
-    anyone = Entity("node", "none", {})
-    edges, e, _, _, _ = comp.edge_frame(replace(rel, length=None), False, anyone, [], False)
+    near = Entity("node", "none", {}, around(comp, rel, False, a.labels))
+    edges, e, _, _, _ = comp.edge_frame(replace(rel, length=None), False, near, [], False)
     edges = comp.having(replace(state, df=edges, scope={}), e, rel.props).df
-    edges = edges.select(c(f"{e.prefix}$near").alias("$near"), c(f"{e.prefix}$far").alias("$far_id"), comp.entity_struct(e, path=True).alias("$rel"))
-    nodes = all_nodes(comp)
-    starts = pairs.select("$src").distinct().join(nodes.select(c("$far_id").alias("$src"), c("$node").alias("$first")), "$src")
-    none = F.array().cast(T.ArrayType(comp.rel_type()))
-    frontier = starts.select("$src", c("$src").alias("$at"), F.array("$first").alias("$nodes"), none.alias("$rels"))
-    frontier = stored(frontier)
-    seen = frontier.select("$src", "$at")
-    hits = [frontier.join(pairs, (c("$at") == c("$dst")) & (frontier["$src"] == pairs["$src"])).select(pairs["$src"], "$dst", "$nodes", "$rels")] if lo == 0 else []
-    left, level = pairs, 0
+    edges = edges.select(c(f"{e.prefix}$near").alias("$near"), c(f"{e.prefix}$far").alias("$far_id"), *([] if narrow else [comp.entity_struct(e, path=True).alias("$rel")]))
+    starts = pairs.select("$src").distinct()
+    steps = [] if narrow else ["$nodes", "$rels"]
+    if narrow:
+        frontier = stored(starts.select("$src", c("$src").alias("$at")))
+    else:
+        nodes = all_nodes(comp, near.labels)
+        none = F.array().cast(T.ArrayType(comp.rel_type()))
+        starts = starts.join(nodes.select(c("$far_id").alias("$src"), c("$node").alias("$first")), "$src")
+        frontier = stored(starts.select("$src", c("$src").alias("$at"), F.array("$first").alias("$nodes"), none.alias("$rels")))
+    seen, hits, left, level = [frontier.select("$src", "$at")], [], pairs, 0
+
+    def found(level: int, at: DataFrame) -> DataFrame:
+        ends = at.join(left.select(c("$src").alias("$s"), "$dst"), (c("$src") == c("$s")) & (c("$at") == c("$dst")))
+        if narrow:
+            one = T.ArrayType(T.StructType([T.StructField(REL, T.StringType())]))
+            empty = F.array_repeat(F.struct(F.lit(None).cast("string").alias(REL)), level).cast(one)
+            return ends.select("$src", "$dst", F.array().cast("array<string>").alias("$nodes"), empty.alias("$rels"))
+        return ends.select("$src", "$dst", *steps)
+
     if lo == 0:
+        hits.append(stored(found(0, frontier)))
         left = stored(pairs.where(c("$src") != c("$dst")))
     while hi is None or level < hi:
         level += 1
-        nxt = frontier.join(edges, c("$at") == c("$near")).join(seen.select(c("$src").alias("$s"), c("$at").alias("$seen")), (c("$src") == c("$s")) & (c("$far_id") == c("$seen")), "left_anti")
-        nxt = nxt.select("$src", "$far_id", "$nodes", F.concat("$rels", F.array("$rel")).alias("$rels"))
+        # What a start still looks for decides whether it is searched on.
+        going = frontier.join(left.select(c("$src").alias("$s")).distinct(), c("$src") == c("$s"), "left_semi")
+        before = seen[0]
+        for s in seen[1:]:
+            before = before.unionByName(s)
+        nxt = going.join(edges, c("$at") == c("$near")).join(before.select(c("$src").alias("$s"), c("$at").alias("$seen")), (c("$src") == c("$s")) & (c("$far_id") == c("$seen")), "left_anti")
         if level == hi:  # nothing is searched from here on, so only wanted ends count
             nxt = nxt.join(left.select(c("$src").alias("$s"), c("$dst").alias("$d")), (c("$src") == c("$s")) & (c("$far_id") == c("$d")), "left_semi")
-        if kind == "one":
-            key = F.transform("$rels", lambda r: r[REL])
-            nxt = nxt.groupBy("$src", "$far_id").agg(F.min_by(F.struct("$nodes", "$rels"), key).alias("$best")).select("$src", "$far_id", "$best.$nodes", "$best.$rels")
-        nxt = nxt.join(nodes, "$far_id").select("$src", c("$far_id").alias("$at"), F.concat("$nodes", F.array("$node")).alias("$nodes"), "$rels")
+        if narrow:
+            nxt = nxt.select("$src", c("$far_id").alias("$at"))
+            nxt = nxt.distinct() if kind == "one" else nxt
+        else:
+            nxt = nxt.select("$src", "$far_id", "$nodes", F.concat("$rels", F.array("$rel")).alias("$rels"))
+            if kind == "one":
+                key = F.transform("$rels", lambda r: r[REL])
+                nxt = nxt.groupBy("$src", "$far_id").agg(F.min_by(F.struct("$nodes", "$rels"), key).alias("$best")).select("$src", "$far_id", "$best.$nodes", "$best.$rels")
+            nxt = nxt.join(nodes, "$far_id").select("$src", c("$far_id").alias("$at"), F.concat("$nodes", F.array("$node")).alias("$nodes"), "$rels")
         frontier = stored(nxt)
         if frontier.isEmpty():
             break
-        here = stored(frontier.join(left.select(c("$src").alias("$s"), "$dst"), (c("$src") == c("$s")) & (c("$at") == c("$dst"))).select("$src", "$dst", "$nodes", "$rels"))
+        here = stored(found(level, frontier))
         hits.append(here)
         left = stored(left.join(here.select("$src", "$dst").distinct(), ["$src", "$dst"], "left_anti"))
         if left.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier.select("$src", "$at").distinct()))
+        seen.append(frontier.select("$src", "$at").distinct())
+        if len(seen) > MERGED:
+            merged = seen[0]
+            for s in seen[1:]:
+                merged = merged.unionByName(s)
+            seen = [stored(merged)]
     if not hits:
-        hits = [frontier.select("$src", c("$at").alias("$dst"), "$nodes", "$rels").where(F.lit(False))]
+        hits = [found(0, frontier).where(F.lit(False))]
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)

@@ -101,6 +101,13 @@ def names_in(node) -> set[str]:
     return out
 
 
+def measured(node) -> set[str]:
+    """Variables that are mentioned only as the argument of length()."""
+    asked = [x.args[0].name for x in t.walk(node) if isinstance(x, t.Call) and x.name == "length" and len(x.args) == 1 and isinstance(x.args[0], t.Var)]
+    all_of = [x.name for x in t.walk(node) if isinstance(x, t.Var)]
+    return {n for n in asked if asked.count(n) == all_of.count(n)} if "*" not in names_in(node) else set()
+
+
 def has_aggregate(e) -> bool:
     if isinstance(e, t.Call) and e.name in AGGREGATES:
         return True
@@ -124,6 +131,8 @@ class Compiler:
         self.typer = Typer(self.spark)
         self.counter = itertools.count()
         self.used: set[str] = set()
+        #: Paths of which nothing but the length is asked.
+        self.measured: set[str] = set()
 
     def fresh(self, stem: str) -> str:
         return f"{stem}{next(self.counter)}"
@@ -135,6 +144,7 @@ class Compiler:
 
     def run(self, query: t.Query) -> DataFrame:
         self.used = {x.name for x in t.walk(query) if isinstance(x, t.Var)} | names_in(query) & {"*"}
+        self.measured = measured(query)
         for x in t.walk(query):
             if isinstance(x, t.PathPattern) and x.var:
                 self.used |= {x.var}
@@ -287,6 +297,9 @@ class Compiler:
     # .. paths
 
     def path(self, pattern: t.PathPattern, state: State) -> State:
+        named = [r.var for r in pattern.rels if r.var]
+        if len(named) != len(set(named)):
+            raise CypherError("a relationship variable is used twice in a pattern")
         if pattern.shortest:
             return paths.shortest(self, pattern, state)
         nodes, rels = pattern.nodes, pattern.rels

@@ -84,8 +84,7 @@ READ: dict[str, tuple[str, str]] = {
     "pattern_predicate": ("MATCH (n:Nation) WHERE (n)<-[:LOCATED_IN]-(:Supplier) AND NOT (n)-[:CHILD]->(:Customer {c_mktsegment: 'MACHINERY'}) RETURN count(*) AS n", "SELECT count(*) AS n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY')"),
     "pattern_comprehension_size": ("MATCH (n:Nation) RETURN n.n_name AS name, size([(n)<-[:LOCATED_IN]-(s) WHERE s.s_acctbal > 0 | s.s_name]) AS k", "SELECT n_name AS name, count(s_suppkey) AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY 1"),
     # shortest paths
-    "shortest_path_len": ("MATCH (a:Turn {turn: 0}), (b:Turn) WHERE a.conv_id = b.conv_id AND a.conv_id < 20 AND b.turn > 0 MATCH p = shortestPath((a)-[:NEXT*]->(b)) RETURN b.conv_id AS c, b.turn AS t, length(p) AS l", "SELECT conv_id AS c, turn AS t, n AS l FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations) WHERE conv_id < 20 AND turn > 0 AND low = 0"),
-    "shortest_path_len_all": ("MATCH (a:Turn {turn: 0}), (b:Turn) WHERE a.conv_id = b.conv_id AND b.turn > 0 MATCH p = shortestPath((a)-[:NEXT*]->(b)) RETURN b.conv_id AS c, b.turn AS t, length(p) AS l", "SELECT conv_id AS c, turn AS t, n AS l FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations) WHERE turn > 0 AND low = 0"),
+    "shortest_path_len": ("MATCH (a:Turn {turn: 0}), (b:Turn) WHERE a.conv_id = b.conv_id AND b.turn > 0 MATCH p = shortestPath((a)-[:NEXT*]->(b)) RETURN b.conv_id AS c, b.turn AS t, length(p) AS l", "SELECT conv_id AS c, turn AS t, n AS l FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations) WHERE turn > 0 AND low = 0"),
     "all_shortest_count": ("MATCH (a:Supplier {s_suppkey: 1}), (b:Nation {n_nationkey: 3}) MATCH p = allShortestPaths((a)-[:SUPPLIES|LOCATED_IN*..3]-(b)) RETURN length(p) AS l, count(*) AS n", "WITH x AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), d AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey = 1 AND s_nationkey = 3), t AS (SELECT count(*) AS n FROM x a JOIN x b ON a.p = b.p AND b.s <> 1 JOIN supplier ON b.s = s_suppkey AND s_nationkey = 3 WHERE a.s = 1), u AS (SELECT count(*) AS n FROM supplier a JOIN supplier b ON false) SELECT CASE WHEN d.n > 0 THEN 1 ELSE 3 END AS l, CASE WHEN d.n > 0 THEN d.n ELSE t.n END AS n FROM d, t"),
     "all_shortest_suppliers": (
         "MATCH (a:Supplier), (b:Supplier {s_nationkey: 3}) WHERE id(a) <> id(b) MATCH p = allShortestPaths((a)-[:SUPPLIES*..2]-(b)) RETURN a.s_suppkey AS a, b.s_suppkey AS b, length(p) AS l, count(*) AS n",
