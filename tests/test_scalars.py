@@ -5,6 +5,7 @@ import random
 import pytest
 
 from weftgraph import cypher
+from weftgraph.plans.errors import CypherError
 from weftgraph.sources.graph import from_rows
 
 
@@ -68,3 +69,13 @@ def test_collect_follows_order(graph):
 def test_truncate_takes_components(graph):
     text = "RETURN toString(date.truncate('month', date('2020-05-17'), {day: 4})) AS a, toString(localdatetime.truncate('day', localdatetime('2020-05-17T10:11:12'), {hour: 3})) AS b, toString(date.truncate('year', date('2020-05-17'))) AS c"
     assert one(graph, text) == [("2020-05-04", "2020-05-17T03:00", "2020-01-01")]
+
+
+def test_durations_written_like_date_times(graph):
+    texts = ["P2012-02-02T14:37:21.545", "P0000-01-01T00:00:00", "P2020-02-29T23:59:59,000000001"]
+    query = "UNWIND range(0, 2) AS k RETURN k, toString([" + ", ".join(f"duration('{t}')" for t in texts) + "][k]) AS d"
+    got = {r.k: r.d for r in cypher.query(graph, query).collect()}
+    assert got == {0: "P2012Y2M2DT14H37M21.545S", 1: "P1M1D", 2: "P2020Y2M29DT23H59M59.000000001S"}
+    for text in ("P2012-13-02T14:37:21", "P2021-02-29T00:00:00", "P2012-02-02T24:00:00", "P2012-02-02T14:37"):
+        with pytest.raises(CypherError):
+            cypher.query(graph, f"RETURN duration('{text}') AS d")

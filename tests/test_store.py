@@ -52,6 +52,22 @@ def test_failures_change_nothing(store):
     assert store.last() == 3
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "MATCH (n:Task {title: 'b'}) DETACH DELETE n RETURN n.title AS t",
+        "MATCH (n:Task {title: 'b'}) DETACH DELETE n WITH n AS m RETURN labels(m) AS l",
+        "MATCH (n:Task {title: 'b'}) DETACH DELETE n RETURN keys(n) AS k",
+        "MATCH (:Task {title: 'a'})-[r:CHILD]->(n) DETACH DELETE n RETURN r.position AS p",
+        "MATCH (n:Task {title: 'b'}), (m:Task {title: 'b'}) DETACH DELETE n RETURN m.title AS t",
+    ],
+)
+def test_deleted_is_not_read(store, text):
+    with pytest.raises(Exception, match="deleted node or relationship"):
+        execute(store, text)
+    assert store.last() == 3
+
+
 def test_no_change_no_revision(store):
     _, summary = execute(store, "CREATE (x:Tmp) WITH x DETACH DELETE x")
     assert summary["revision"] is None and store.last() == 3
@@ -136,3 +152,13 @@ def test_two_streams_feed_one_store(spark, tmp_path):
 
 def rows_of(s):
     return rows(s.graph(), "MATCH (e:Event) RETURN count(*) AS n")[0][0]
+
+
+def test_ids_and_others_are_read_after_a_deletion(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "g"))
+    execute(s, "CREATE (a:Task {title: 'a'})-[:CHILD {position: 0}]->(b:Task {title: 'b'})")
+    text = "MATCH (a:Task {title: 'a'})-[r:CHILD]->(n) DELETE r RETURN a.title AS t, n.title AS u, type(r) AS k, id(r) IS NULL AS i"
+    results, summary = execute(s, text)
+    assert [tuple(r) for r in results[0].collect()] == [("a", "b", "CHILD", False)] and summary["relationships_deleted"] == 1
+    results, _ = execute(s, "MATCH (n:Nothing) DELETE n RETURN n.title AS t")
+    assert results[0].collect() == []

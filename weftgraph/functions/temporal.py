@@ -57,9 +57,24 @@ def duration_struct(months: Column, days: Column, seconds: Column, nanos: Column
 
 _DURATION = re.compile(r"^([-+]?)P(?:(?P<y>[-+]?\d+(?:\.\d+)?)Y)?(?:(?P<q>[-+]?\d+(?:\.\d+)?)Q)?(?:(?P<mo>[-+]?\d+(?:\.\d+)?)M)?(?:(?P<w>[-+]?\d+(?:\.\d+)?)W)?(?:(?P<d>[-+]?\d+(?:\.\d+)?)D)?(?:T(?:(?P<h>[-+]?\d+(?:\.\d+)?)H)?(?:(?P<mi>[-+]?\d+(?:\.\d+)?)M)?(?:(?P<s>[-+]?\d+(?:\.\d+)?)S)?)?$")
 
+#: The form of a date-time, in which every part but the fraction is written.
+_DURATION_DATED = re.compile(r"^P([-+]?\d{4,})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:[.,](\d{1,9}))?$", re.ASCII)
+
+
+def dated_parts(m: re.Match) -> tuple[int, int, int, int]:
+    """Parts of a duration that is written like a date-time, and must be one."""
+    y, mo, d, h, mi, s = (int(m[k]) for k in range(1, 7))
+    try:
+        dt.datetime(2000 + y % 400, mo, d, h, mi, s)  # leap years come again after 400 years
+    except ValueError:
+        raise CypherError(f"{m[0]!r} is no duration") from None
+    return spread(y * 12 + mo, d, h * 3600 + mi * 60 + s, int((m[7] or "").ljust(9, "0")))
+
 
 def duration_parts(text: str) -> tuple[int, int, int, int]:
     """months, days, seconds, nanos of an ISO duration; fractions flow into smaller units."""
+    if dated := _DURATION_DATED.match(text.strip()):
+        return dated_parts(dated)
     m = _DURATION.match(text.strip())
     if not m or text.strip().endswith(("P", "T")):
         raise CypherError(f"{text!r} is no duration")

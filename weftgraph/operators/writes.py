@@ -76,6 +76,7 @@ class Batch:
     def run(self, statement: t.Statement) -> DataFrame | None:
         comp = Writer(self, self.params)
         comp.used = {x.name for x in t.walk(statement) if isinstance(x, t.Var)} | {x.var for x in t.walk(statement) if isinstance(x, (t.PathPattern, t.NodePattern, t.RelPattern)) and x.var}
+        comp.last = {id(branch[-1]) for branch in statement.query.branches}
         _, df, names = comp.query(statement.query, comp.unit())
         out = stored(df) if names else None
         if not names:
@@ -89,6 +90,8 @@ class Writer(Compiler):
     def __init__(self, batch: Batch, params: dict | None):
         super().__init__(batch.graph, params)
         self.batch = batch
+        #: Clauses that nothing follows.
+        self.last: set[int] = set()
 
     def clause(self, clause, state: State) -> State:
         if not isinstance(clause, t.WRITES):
@@ -108,7 +111,7 @@ class Writer(Compiler):
             for item in clause.items:
                 state = self.remove(item, state, row)
         else:
-            self.delete(clause, state)
+            state = self.delete(clause, state)
         self.graph = self.batch.graph
         return state
 
@@ -330,7 +333,9 @@ class Writer(Compiler):
 
     # .. DELETE
 
-    def delete(self, clause: t.Delete, state: State) -> None:
+    def delete(self, clause: t.Delete, state: State) -> State:
+        """The state in which variables know whether they were deleted, if a clause follows."""
+        gone: dict[str, list[DataFrame]] = {"node": [], "rel": []}
         nodes, edges = [], []
         for item in clause.items:
             v = self.expr(item, state)
@@ -354,6 +359,7 @@ class Writer(Compiler):
             ids = union(edges)
             self.batch.count("relationships_deleted", self.batch.edges.join(ids, "id", "left_semi"))
             self.batch.drop("edges", ids)
+            gone["rel"].append(ids)
         if nodes:
             ids = union(nodes)
             all_edges = self.batch.edges
@@ -363,8 +369,22 @@ class Writer(Compiler):
                     raise CypherError("a node with relationships is deleted with DETACH only")
                 self.batch.count("relationships_deleted", touching)
                 self.batch.drop("edges", touching)
+                gone["rel"].append(touching)
             self.batch.count("nodes_deleted", self.batch.nodes.join(ids, "id", "left_semi"))
             self.batch.drop("nodes", ids)
+            gone["node"].append(ids)
+        if id(clause) in self.last:
+            return state
+        df, scope = state.df, dict(state.scope)
+        for name, e in state.scope.items():
+            if not isinstance(e, Entity) or not gone.get(e.kind):
+                continue
+            mark = self.fresh("gone")
+            df = df.join(_union(gone[e.kind]).select(F.col("id").alias(mark)).distinct(), e.col("id") == c(mark), "left")
+            before = e.col("gone") if e.gone else F.lit(False)
+            df = df.withColumn(f"{e.prefix}$gone", before | c(mark).isNotNull()).drop(mark)
+            scope[name] = replace(e, gone=True)
+        return replace(state, df=df, scope=scope)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -40,6 +40,7 @@ class Entity:
     props: dict[str, T.DataType]
     labels: frozenset[str] | None = None  # labels or types that it can have; None: any
     key_label: str | None = None  # its key column holds keys of this label's table
+    gone: bool = False  # a column tells whether a DELETE of the statement took it away
 
     def col(self, name: str) -> Column:
         return c(f"{self.prefix}${name}")
@@ -54,6 +55,8 @@ class Entity:
         fixed = ["id", "labels", "body"] if self.kind == "node" else ["id", "from", "to", "type", "position"]
         if self.kind == "node" and self.key_label:
             fixed.append("key")
+        if self.gone:
+            fixed.append("gone")
         return [f"{self.prefix}${n}" for n in fixed] + [f"{self.prefix}.{p}" for p in self.props]
 
     @property
@@ -529,7 +532,17 @@ class Compiler:
         b = state.scope[name]
         return self.val(self.entity_struct(b) if isinstance(b, Entity) else c(b), state)
 
+    def alive(self, e: Entity, v: Val, what: str) -> Val:
+        """A value read from a node or relationship, an error on rows where it was deleted."""
+        if not e.gone:
+            return v
+        error = F.raise_error(F.lit(f"{what} of a deleted node or relationship"))
+        return make(lambda x: F.when(e.col("gone"), error).otherwise(x), v)
+
     def entity_prop(self, state: State, e: Entity, key: str) -> Val:
+        return self.alive(e, self.stored_prop(state, e, key), "a property")
+
+    def stored_prop(self, state: State, e: Entity, key: str) -> Val:
         if e.kind == "node" and key == "body":
             return self.val(e.col("body"), state, T.StringType())
         if e.kind == "rel" and key == "position":
@@ -1237,6 +1250,10 @@ class Compiler:
             return make(lambda x: x.isNotNull(), self.identity(e.args[0], state, local))
         if len(e.args) == 1 and isinstance(e.args[0], t.Var) and e.args[0].name not in local and isinstance(b := state.scope.get(e.args[0].name), Entity):
             short = {("node", "id"): "id", ("rel", "id"): "id", ("node", "elementid"): "id", ("rel", "elementid"): "id", ("node", "labels"): "labels", ("node", "body"): "body", ("rel", "type"): "type"}
+            if b.gone and e.name in ("labels", "properties", "keys"):
+                out = scalar.call(e.name, [self.alive(b, self.whole(state, e.args[0].name), e.name)])
+                if out is not None:
+                    return out
             if (b.kind, e.name) in short:
                 return self.val(b.col(short[(b.kind, e.name)]), state)
         args = [self.identity(a, state, local) if identity_only(e) else self.expr(a, state, local) for a in e.args]
