@@ -26,6 +26,8 @@ if TYPE_CHECKING:
 UNROLLED = 6
 #: Levels of a search are kept as they were written until there are more of them.
 MERGED = 16
+#: So many nodes at most are sent to all executors, to find their relationships.
+BROADCAST = 10_000
 
 
 def bounds(comp: Compiler, rel: t.RelPattern) -> tuple[int, int | None]:
@@ -173,12 +175,128 @@ def breadth_first(comp: Compiler, pattern: t.PathPattern, state: State, rel: t.R
     a, b = state.scope[ends[0]], state.scope[ends[1]]
     # Where only lengths are asked of a path between given ends, no step of it is carried.
     narrow = fixed and not (rel.var and (rel.var in comp.used or "*" in comp.used)) and (not pattern.var or pattern.var in comp.measured)
+    if narrow and state.product is not None and (parts := state.product.parts(state, *ends)):
+        df, name = between(comp, state, a, b, parts, rel, lo, hi, pattern.shortest)
+        return replace(state, df=df), name, fixed
     found = search(comp, state, a, b, rel, lo, hi, pattern.shortest, narrow)
     name = comp.fresh("p")
     df = state.df.join(found, (a.col("id") == c("$src")) & (b.col("id") == c("$dst"))).withColumn(name, c("$path")).drop("$src", "$dst", "$path")
     return replace(state, df=df), name, fixed
 
 
+def between(comp: Compiler, state: State, a: Entity, b: Entity, parts: list[State], rel: t.RelPattern, lo: int, hi: int | None, kind: str) -> tuple[DataFrame, str]:
+    """Bindings with a narrow path, from all nodes of one table to all of another, of which no pairs are made."""
+    one = replace(rel, length=None)
+    keyed = a.key_label is not None and b.key_label is not None and all(single_tables(comp, one, back, e.key_label) for back, e in ((False, a), (True, b)))
+    own = [e.col("key" if keyed else "id") for e in (a, b)]
+    sides = [stored(part.df.select(x.alias("$id")).where(c("$id").isNotNull()).distinct()) for part, x in zip(parts, own, strict=True)]
+    sizes = [s.count() for s in sides]
+    # The search goes from the side with fewer nodes.
+    back = sizes[1] < sizes[0]
+    near, far = (b, a) if back else (a, b)
+    if back:
+        sides, sizes = sides[::-1], sizes[::-1]
+    found = counted(comp, state, one, back, near, far, *sides, sizes[1], lo, hi, kind, keyed)
+    if back:
+        found = found.select(c("$dst").alias("$src"), c("$src").alias("$dst"), "$level", "$n")
+    df = parts[0].df.join(found, own[0] == c("$src")).join(parts[1].df, own[1] == c("$dst"))
+    for test in state.product.tests:
+        df = df.where(test)
+    if kind == "all":
+        # A row for each path, in lists of bounded length.
+        df = df.withColumn("$part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(`$n` - 1) div 1000"))))
+        df = df.withColumn("$one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(c("$n") - c("$part") * 1000, F.lit(1000)))))
+    name = comp.fresh("p")
+    steps = F.array_repeat(F.struct(F.lit(None).cast("string").alias(REL)), c("$level"))
+    path = F.struct(F.array().cast("array<string>").alias("nodes"), steps.alias("relationships"))
+    return df.withColumn(name, path).drop("$src", "$dst", "$level", "$n", "$part", "$one"), name
+
+
+def single_tables(comp: Compiler, rel: t.RelPattern, back: bool, label: str) -> bool:
+    """Whether each step from nodes with a label reads one table, so that a level's nodes are told apart by their key."""
+    from ..plans.compiler import Entity
+
+    known: set[str] = set()
+    while label not in known:
+        known.add(label)
+        ends = comp.edge_frame(rel, back, Entity("node", "none", {}, frozenset({label})), [], False)[3]
+        if ends is None or ends[1] is None:
+            return False
+        label = ends[1]
+    return True
+
+
+def counted(comp: Compiler, state: State, rel: t.RelPattern, back: bool, near: Entity, far: Entity, starts: DataFrame, ends: DataFrame, size: int, lo: int, hi: int | None, kind: str, keyed: bool) -> DataFrame:
+    """$src, $dst, $level and $n: the length of the shortest paths from each start to each end, and how many there are.
+
+    A level holds each (start, node) once, with the number of paths to it.
+    """
+    label, labels = near.key_label, near.labels
+    few = size <= BROADCAST
+    frontier = starts.select(c("$id").alias("$src"), c("$id").alias("$at"), F.lit(1).cast("long").alias("$n"))
+    seen, hits, level, rows = [(label, frontier.select("$src", "$at"))], [], 0, starts.count()
+    # A start is no end of its own but by a path of length 0.
+    itself = F.lit(0) if lo == 0 else c("$end").isNotNull().cast("int")
+    goals = starts.join(ends.select(c("$id").alias("$end")), c("$id") == c("$end"), "left").select(c("$id").alias("$src"), (F.lit(size) - itself).alias("$goal"))
+
+    def wanted(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(ends) if few else ends, c("$at") == c("$id"), "left_semi")
+
+    if lo == 0 and (not keyed or label == far.key_label):
+        hits.append(wanted(frontier).withColumn("$level", F.lit(0)))
+    while hi is None or level < hi:
+        level += 1
+        if hits:  # a start that has found every end is searched on no more
+            got = together(hits).groupBy("$src").agg(F.count(F.lit(1)).alias("$got"))
+            open_ = goals.join(got, "$src", "left").where(F.coalesce(c("$got"), F.lit(0)) < c("$goal"))
+            frontier = frontier.join(open_, "$src", "left_semi")
+        edges, e, far_labels, tables, _ = comp.edge_frame(rel, back, replace(near, labels=labels), [], False)
+        if keyed:
+            label, labels = tables[1], frozenset({tables[1]})
+        else:
+            label, labels = None, far_labels if far_labels is None or None not in far_labels else None
+        edges = comp.having(replace(state, df=edges, scope={}, product=None), e, rel.props).df
+        x, y = (f"{e.prefix}${n}{'_key' if keyed else ''}" for n in ("near", "far"))
+        edges = edges.select(c(x).alias("$near"), c(y).alias("$to"))
+        if rows <= BROADCAST:
+            # The relationships of few nodes are picked before they are dealt out.
+            edges = edges.join(F.broadcast(frontier.select("$at").distinct()), c("$near") == c("$at"), "left_semi")
+            frontier = F.broadcast(frontier)
+        nxt = edges.join(frontier, c("$near") == c("$at")).select("$src", c("$to").alias("$at"), "$n")
+        last = level == hi
+        if last and few:
+            nxt = wanted(nxt)
+        nxt = nxt.groupBy("$src", "$at").agg((F.sum("$n") if kind == "all" else F.lit(1).cast("long")).alias("$n"))
+        before = [s for k, s in seen if not keyed or k == label]
+        if before:
+            nxt = nxt.join(together(before).select(c("$src").alias("$s"), c("$at").alias("$seen")), (c("$src") == c("$s")) & (c("$at") == c("$seen")), "left_anti")
+        if last:
+            if not keyed or label == far.key_label:
+                hits.append((nxt if few else wanted(nxt)).withColumn("$level", F.lit(level)))
+            break
+        frontier = stored(nxt)
+        rows = frontier.count()
+        if not rows:
+            break
+        if not keyed or label == far.key_label:
+            hits.append(stored(wanted(frontier).withColumn("$level", F.lit(level))))
+        seen.append((label, frontier.select("$src", "$at")))
+        if len(seen) > MERGED:
+            kinds = {k for k, _ in seen}
+            seen = [(k, stored(together([s for other, s in seen if other == k]))) for k in kinds]
+            hits = [stored(together(hits))] if hits else []
+    if not hits:
+        hits = [frontier.where(F.lit(False)).withColumn("$level", F.lit(0))]
+    return together(hits).select("$src", c("$at").alias("$dst"), "$level", "$n")
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def search(comp: Compiler, state: State, a: Entity, b: Entity, rel: t.RelPattern, lo: int, hi: int | None, kind: str, narrow: bool) -> DataFrame:
     """$src, $dst, $path for the wanted pairs, breadth first; a narrow path has relationships without values."""
     from ..plans.compiler import Entity

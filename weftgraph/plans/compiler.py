@@ -68,6 +68,25 @@ class Entity:
 ORDER = " order"
 
 
+@dataclass
+class Product:
+    """What is known of a table that pairs the rows of two others: these, and tests by <> of both."""
+
+    df: DataFrame  # the pairs; of any other table nothing is known
+    left: State
+    right: State
+    tests: tuple[Column, ...] = ()
+
+    def parts(self, state: State, *names: str) -> list[State] | None:
+        """The tables that hold these variables, if ``state`` is still the product and each is in another one."""
+        if self.df is not state.df:
+            return None
+        for parts in ([self.left, self.right], [self.right, self.left]):
+            if all(n in p.scope and p.scope[n] is state.scope.get(n) for n, p in zip(names, parts, strict=True)):
+                return parts
+        return None
+
+
 @dataclass
 class State:
     """Bindings so far.
@@ -83,6 +102,7 @@ class State:
     unit: bool = False
     #: Columns that stand for subquery expressions, by the identity of their syntax node.
     ready: dict[int, str] = field(default_factory=dict)
+    product: Product | None = None
 
     def columns(self) -> list[str]:
         cols = list(self.hidden)
@@ -315,9 +335,13 @@ class Compiler:
         if not bound:
             lean = self.lean(pattern, names[at]) and nodes[at].props is None
             df, entity = self.scan(names[at], nodes[at].labels, self.reachable(pattern, at), id_only=lean)
-            df = df if state.unit else state.df.crossJoin(df)
-            state = replace(state, df=df, scope={**state.scope, names[at]: entity}, unit=False)
-            state = self.having(state, entity, nodes[at].props)
+            new, props = State(df, {names[at]: entity}), nodes[at].props
+            if props is not None and not names_in(props):
+                new, props = self.having(new, entity, props), None
+            df = new.df if state.unit else state.df.crossJoin(new.df)
+            product = None if state.unit else Product(df, state, new)
+            state = replace(state, df=df, scope={**state.scope, names[at]: entity}, unit=False, product=product)
+            state = self.having(state, entity, props)
         else:
             state = self.narrow(state, state.scope[names[at]], nodes[at])
         trail: list[Entity] = []
@@ -565,7 +589,21 @@ class Compiler:
         v = self.expr(e, state)
         if v.kind not in ("boolean", "null"):
             raise CypherTypeError(f"WHERE takes boolean, not {v.kind}")
-        return replace(state, df=state.df.where(v.col.cast("boolean")))
+        test = v.col.cast("boolean")
+        df = state.df.where(test)
+        return replace(state, df=df, product=self.tested(state, e, test, df))
+
+    def tested(self, state: State, e: t.Expr, test: Column, df: DataFrame) -> Product | None:
+        """The product after a test: one of a single side narrows that side, one by <> is kept, any other may leave few pairs."""
+        known = state.product
+        if known is None or known.df is not state.df:
+            return None
+        names = names_in(e)
+        for side in ("left", "right"):
+            part = getattr(known, side)
+            if names <= part.scope.keys():
+                return replace(known, df=df, **{side: replace(part, df=part.df.where(test))})
+        return replace(known, df=df, tests=(*known.tests, test)) if isinstance(e, t.Binary) and e.op == "<>" else None
 
     def existence(self, test: t.PatternTest | t.Exists, state: State) -> tuple[list[str], DataFrame]:
         """Columns that a test depends on, and the distinct values of them for which it holds."""
