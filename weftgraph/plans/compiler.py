@@ -218,8 +218,9 @@ class Compiler:
     # -- MATCH -------------------------------------------------------------
 
     def match(self, clause: t.Match, state: State) -> State:
+        asked = names_in(clause.where) if clause.where is not None else set()
         for pattern in clause.patterns:
-            state = self.path(pattern, state)
+            state = self.path(pattern, state, asked)
         return self.where(clause.where, state) if clause.where is not None else state
 
     def optional(self, clause: t.Match, state: State) -> State:
@@ -319,7 +320,8 @@ class Compiler:
 
     # .. paths
 
-    def path(self, pattern: t.PathPattern, state: State) -> State:
+    def path(self, pattern: t.PathPattern, state: State, asked: set[str] | frozenset[str] = frozenset()) -> State:
+        """A path; ``asked`` are the variables of WHERE."""
         named = [r.var for r in pattern.rels if r.var]
         if len(named) != len(set(named)):
             raise CypherError("a relationship variable is used twice in a pattern")
@@ -332,6 +334,11 @@ class Compiler:
             if isinstance(state.scope.get(n), str):
                 raise CypherTypeError(f"{n} is not a node")
         at = bound[0] if bound else self.best_start(nodes)
+        if not bound and state.unit and not state.hidden and (cut := self.cut(pattern, names, at, asked)):
+            state, bindings = self.closed(pattern, names, cut, state)
+            if pattern.var:
+                state = self.bind_path(state, pattern, names, bindings)
+            return replace(state, scope={k: v for k, v in state.scope.items() if not k.startswith(" ")})
         if not bound:
             lean = self.lean(pattern, names[at]) and nodes[at].props is None
             df, entity = self.scan(names[at], nodes[at].labels, self.reachable(pattern, at), id_only=lean)
@@ -357,6 +364,95 @@ class Compiler:
         scope = {k: v for k, v in state.scope.items() if not k.startswith(" ")}
         return replace(state, scope=scope)
 
+    def to_one(self, rel: t.RelPattern, left: t.NodePattern, right: t.NodePattern) -> tuple[bool, bool]:
+        """Whether a relationship leads from left to right, and from right to left, to one node at most."""
+        picks = []
+        for e in self.graph.edge_tables(rel.types):
+            for d in {"out": ["out"], "in": ["in"], "both": ["out", "in"]}[rel.direction]:
+                ends = (e.source, e.target) if d == "out" else (e.target, e.source)
+                if e.type is None or all(not n.labels or set(n.labels) == {x} for n, x in zip((left, right), ends, strict=True)):
+                    picks.append(e.node_end and (e.node_end == "source") == (d == "out"))
+        return (picks[0] is True, picks[0] is False) if len(picks) == 1 else (False, False)
+
+    def cut(self, pattern: t.PathPattern, names: list[str], at: int, asked) -> tuple[tuple[range, int], tuple[range, int]] | None:
+        """For a path that ends where it began: two arcs of it, each with its start, of which neither fans out as often as the whole.
+
+        With something asked of a node the path starts there and stays whole.
+        """
+        rels, m = pattern.rels, len(pattern.rels)
+        if m < 3 or names[0] != names[-1] or len(set(names)) != m or asked & set(names):
+            return None
+        if any(r.length is not None or r.props is not None for r in rels) or any(n.props is not None for n in pattern.nodes):
+            return None
+        nodes = self.merged_ends(pattern)
+        fans = [self.to_one(rels[k], nodes[k], nodes[(k + 1) % m]) for k in range(m)]
+
+        def best(span: range) -> tuple[int, int, int]:
+            """Hops to many from the best start, less is better; then those next to it that lead to one, and the start."""
+            found = []
+            for start in range(span.start, span.stop + 1):
+                many = sum(not fans[k % m][0] for k in range(start, span.stop)) + sum(not fans[k % m][1] for k in range(span.start, start))
+                near = (start < span.stop and fans[start % m][0]) + (start > span.start and fans[(start - 1) % m][1])
+                found.append((many, -near, start))
+            return min(found)
+
+        # The last hop finds both its ends bound.
+        now = sum(not fans[k][0] for k in range(at, m if at else m - 1)) + sum(not fans[k][1] for k in range(1, at))
+        options = []
+        for i in range(m):
+            for j in range(i + 1, m):
+                spans = range(i, j), range(j, i + m)
+                costs = [best(x) for x in spans]
+                options.append((max(x[0] for x in costs), sum(x[0] for x in costs), sum(x[1] for x in costs), i, j, [(x, k[2]) for x, k in zip(spans, costs, strict=True)]))
+        least = min(options, key=lambda x: x[:-1])
+        return tuple(least[-1]) if least[0] < now else None
+
+    def merged_ends(self, pattern: t.PathPattern) -> list[t.NodePattern]:
+        """The nodes of a path that ends where it began, the first with what is asked of the last."""
+        first, *rest, last = pattern.nodes
+        return [replace(first, labels=list(dict.fromkeys([*first.labels, *last.labels]))), *rest]
+
+    def closed(self, pattern: t.PathPattern, names: list[str], cut, state: State) -> tuple[State, dict[int, Entity]]:
+        """Both arcs by themselves, joined by the two nodes that they share."""
+        nodes, m = self.merged_ends(pattern), len(pattern.rels)
+        sides, trails, bindings = [], [], {}
+        for second, (span, start) in enumerate(cut):
+            places = range(span.start, span.stop + 1)
+            own = [names[k % m] for k in places]
+            part = replace(pattern, nodes=[nodes[k % m] for k in places], rels=[pattern.rels[k % m] for k in span])
+            if second:  # its ends are those of the first arc, with names of their own here
+                for k in (0, -1):
+                    own[k], part.nodes[k] = f" {self.fresh('anon')}", replace(part.nodes[k], var=None)
+            at = start - span.start
+            among = self.reachable(part, at)
+            lean = self.lean(part, own[at]) and len(self.possible(part.nodes[at].labels, among)) > 1
+            df, entity = self.scan(own[at], part.nodes[at].labels, among, id_only=lean)
+            side, trail = State(df, {own[at]: entity}), []
+            ahead = [(k, False) for k in range(at, len(part.rels))]
+            behind = [(k, True) for k in range(at - 1, -1, -1)]
+            # Hops to one node come first, while rows are few.
+            first = at > 0 and self.to_one(part.rels[at - 1], part.nodes[at - 1], part.nodes[at])[1]
+            for k, back in [*behind, *ahead] if first else [*ahead, *behind]:
+                x, y = (k + 1, k) if back else (k, k + 1)
+                side, bindings[span[k] % m] = self.hop(side, own[x], part.rels[k], part.nodes[y], own[y], back, trail, part)
+            sides.append((side, [side.scope[own[0]], side.scope[own[-1]]]))
+            trails.append(trail)
+            if second:
+                side = replace(side, scope={k: v for k, v in side.scope.items() if k not in (own[0], own[-1])})
+                sides[-1] = (side, sides[-1][1])
+        (one, ends), (other, others) = sides
+        on = None
+        for a, b in zip(ends, reversed(others), strict=True):
+            by = "key" if a.key_label and a.key_label == b.key_label else "id"
+            same = a.col(by) == b.col(by)
+            on = same if on is None else on & same
+        df = one.df.join(other.df, on)
+        for a in trails[0]:
+            for b in trails[1]:
+                if a.labels is None or b.labels is None or a.labels & b.labels:
+                    df = df.where(a.col("id") != b.col("id"))
+        return replace(state, df=df, scope={**state.scope, **one.scope, **other.scope}, unit=False), bindings
+
     def best_start(self, nodes: list[t.NodePattern]) -> int:
         """A node with a property to look up, else one with a label, else the first."""
         return max(range(len(nodes)), key=lambda k: (nodes[k].props is not None, bool(nodes[k].labels), -k))
