@@ -106,3 +106,11 @@ def test_many_paths_of_a_pair(spark):
     graph = from_rows(spark, spark.createDataFrame(nodes, "id string, labels array<string>, body string"), spark.createDataFrame(edges, "id string, from_id string, type string, to_id string, position long"))
     found = cypher.query(graph, "MATCH (a:A), (b:B) MATCH p = allShortestPaths((a)-[:R*]->(b)) RETURN length(p) AS l, count(*) AS n").collect()
     assert list(map(tuple, found)) == [(2, 3000)]
+
+
+def test_random_tests_are_of_pairs(graph, monkeypatch):
+    """A random value is drawn for each pair, so that the pairs are made."""
+    used = []
+    monkeypatch.setattr(paths, "between", lambda *a, f=paths.between: used.append(1) or f(*a))
+    found = cypher.query(graph, "MATCH (a:X), (b:Y) WHERE a.k + rand() >= 0 MATCH p = shortestPath((a)-[:R]->(b)) RETURN length(p) AS l, count(*) AS n").collect()
+    assert list(map(tuple, found)) == [(1, len(set(R)))] and not used

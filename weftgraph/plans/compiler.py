@@ -131,6 +131,11 @@ def measured(node) -> set[str]:
     return {n for n in asked if asked.count(n) == all_of.count(n)} if "*" not in names_in(node) else set()
 
 
+def is_random(e) -> bool:
+    """Whether an expression can have another value for each row."""
+    return any(isinstance(x, t.Call) and x.name in ("rand", "randomuuid") for x in t.walk(e))
+
+
 def has_aggregate(e) -> bool:
     if isinstance(e, t.Call) and e.name in AGGREGATES:
         return True
@@ -343,7 +348,7 @@ class Compiler:
             lean = self.lean(pattern, names[at]) and nodes[at].props is None
             df, entity = self.scan(names[at], nodes[at].labels, self.reachable(pattern, at), id_only=lean)
             new, props = State(df, {names[at]: entity}), nodes[at].props
-            if props is not None and not names_in(props):
+            if props is not None and not names_in(props) and not is_random(props):
                 new, props = self.having(new, entity, props), None
             df = new.df if state.unit else state.df.crossJoin(new.df)
             product = None if state.unit else Product(df, state, new)
@@ -692,7 +697,7 @@ class Compiler:
     def tested(self, state: State, e: t.Expr, test: Column, df: DataFrame) -> Product | None:
         """The product after a test: one of a single side narrows that side, one by <> is kept, any other may leave few pairs."""
         known = state.product
-        if known is None or known.df is not state.df:
+        if known is None or known.df is not state.df or is_random(e):
             return None
         names = names_in(e)
         for side in ("left", "right"):
